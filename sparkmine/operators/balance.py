@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import col
+from ..runtime import col, stored
 
 #: A key is split above this fraction of a task's mean load.
 SPLIT_ABOVE = 0.25
@@ -66,10 +66,10 @@ def plan_loads(rows: DataFrame, tasks: int) -> LoadPlan:
     """The plan for rows(field, key), one row for each record of work; loads are counted exactly, combined on the map side."""
     spark = rows.sparkSession
     buckets = tasks * BUCKETS_PER_TASK
-    loads = rows.groupBy("field", "key").agg(F.count("*").alias("n"))
+    loads = stored(rows.groupBy("field", "key").agg(F.count("*").alias("n")))
     bucket = F.pmod(F.xxhash64("field", "key"), F.lit(buckets))
     # a key's load is compared with the mean, for which the number of rows is needed first
-    total = rows.count()
+    total = loads.agg(F.sum("n")).first()[0] or 0
     most = max(1.0, SPLIT_ABOVE * total / tasks)
     marked = loads.select("field", "key", "n", (F.col("n") > most).alias("large"), bucket.alias("bucket"))
     grouped = marked.groupBy("large", F.when(F.col("large"), F.struct("field", "key")).alias("at"), F.when(~F.col("large"), F.col("bucket")).alias("bucket")).agg(F.sum("n").alias("n"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..runtime import col
+from ..runtime import col, stored
 
 
 def frequent_values(df: DataFrame, fields: Sequence[str], k: int, record: str | None = None) -> DataFrame:
@@ -30,7 +30,8 @@ def frequent_values(df: DataFrame, fields: Sequence[str], k: int, record: str |
     else:
         rows = df.where(col(record).isNotNull()).select(col(record).alias("record"), F.explode(keys).alias("k")).where("k.key_value is not null")
         rows = rows.select("k.*", "record").distinct()
-    counts = rows.groupBy("field_name", "key_value").agg(F.count("*").alias("n_records"))
+    # kept as a table: the ranking of each field reads it, and would else scan and count everything again
+    counts = stored(rows.groupBy("field_name", "key_value").agg(F.count("*").alias("n_records")))
     total = counts.where("field_name = ''").select(F.col("n_records").alias("n_total"))
     top = None
     for f in fields:

@@ -130,7 +130,8 @@ def _graded(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id
 
 
 def reading_levels(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, level: str, max_labels: int = 20_000, keep: tuple[str, ...] = (), model: LevelModel | None = None) -> DataFrame:
-    """doc_id, n_words, score, level_value (1 to 5, continuous), reading_level (rounded, halves up), and the columns in keep.
+    """doc_id, n_words, score, level_value (1 to 5, continuous), reading_level (rounded, halves up), and the columns in keep
+    (with a trailing _ where their name is one of these).
 
     The model is fitted on at most max_labels labelled documents (the mean where one is rated several times), chosen by a
     hash of their ids, unless one is given. Null, empty and wordless texts have null levels, as has every text if no label
@@ -139,7 +140,8 @@ def reading_levels(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, l
     if model is None:
         x, y = _graded(docs, doc_id, text, labels, label_id, level, max_labels)
         model = fit(x, y) if len(y) else None
-    rows = docs.select(col(text).cast("string").alias("text"), col(doc_id).alias("doc_id"), *(col(c) for c in keep))
+    own = {"doc_id", "n_words", "score", "level_value", "reading_level"}
+    rows = docs.select(col(text).cast("string").alias("text"), col(doc_id).alias("doc_id"), *(col(c).alias(c + "_" * (c.lower() in own)) for c in keep))
     others = rows.schema.fields[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,23 +37,22 @@ class BloomChain:
     def _add_layer(self) -> None:
         i = len(self.layers)
         capacity, rate = self.first * self.growth**i, self.error * (1 - self.tighten) * self.tighten**i
-        m = (max(64, math.ceil(-capacity * math.log(rate) / math.log(2) ** 2)) + 7) // 8 * 8
-        self.layers.append((np.zeros(m // 8, np.uint8), m, max(1, round(m / capacity * math.log(2)))))
+        k = max(1, math.ceil(-math.log2(rate)))
+        # the size at which k hashes reach the rate, and some more as the formula is a little low for small filters
+        m = math.ceil(-k * capacity / math.log1p(-(rate ** (1 / k))) * 1.02) + 64
+        m = (m + 7) // 8 * 8
+        self.layers.append((np.zeros(m // 8, np.uint8), m, k))
         self.room = capacity
 
     @staticmethod
     def _places(keys: np.ndarray, m: int, k: int, layer: int) -> np.ndarray:
-        """k bit places for each key: double hashing of two mixes of the key, with a quadratic term."""
+        """k independent bit places for each key: a mix of the key with the numbers of the layer and the hash."""
         with np.errstate(over="ignore"):
-            h = keys.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (layer + 1)) % 2**64)
-            mixed = []
-            for _ in range(2):
-                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                h = h ^ (h >> np.uint64(31))
-                mixed.append(h)
-            i = np.arange(k, dtype=np.uint64)[:, None]
-            return ((mixed[0] + i * (mixed[1] | np.uint64(1)) + i * i * np.uint64(0x2545F4914F6CDD1D)) % np.uint64(m)).astype(np.int64)
+            salt = np.arange(1, k + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(layer * 0xD1B54A32D192ED03 % 2**64)
+            h = keys.astype(np.uint64) ^ salt
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            return ((h ^ (h >> np.uint64(31))) % np.uint64(m)).astype(np.int64)
 
     def __contains__(self, key: int) -> bool:
         return bool(self.holds(np.array([key], np.int64))[0])

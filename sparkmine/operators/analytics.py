@@ -19,7 +19,7 @@ def count_where(df: DataFrame, predicate: Column, name: str = "n") -> DataFrame:
 
 def count_different(df: DataFrame, *columns: str, name: str = "n") -> DataFrame:
     """Distinct non-null values (or combinations without nulls). Deduplicated per key in two phases, not in one task."""
-    keys = df.select(*(col(c) for c in columns)).dropna().distinct()
+    keys = df.select(*(col(c).alias(f"k{i}") for i, c in enumerate(columns))).dropna().distinct()
     return keys.agg(F.count("*").alias(name))
 
 
@@ -45,8 +45,8 @@ def top_groups(df: DataFrame, score: str) -> DataFrame:
 
 def at_least(df: DataFrame, key: str, item: str, more_than: int, name: str = "n_items") -> DataFrame:
     """Keys with more than so many distinct items."""
-    pairs = df.select(col(key), col(item)).dropna().distinct()
-    return pairs.groupBy(col(key)).agg(F.count("*").alias(name)).where(F.col(name) > more_than)
+    pairs = df.select(col(key).alias("k"), col(item).alias("i")).dropna().distinct()
+    return pairs.groupBy("k").agg(F.count("*").alias(name)).where(F.col(name) > more_than).withColumnRenamed("k", key)
 
 
 def partition_profile(df: DataFrame, n: int | None = None, *keys: str) -> DataFrame:

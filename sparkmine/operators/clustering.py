@@ -91,7 +91,9 @@ def _far(mean_a, mean_b, std) -> float:
 
 
 def _kmeans(points: DataFrame, k: int, seed: int) -> DataFrame:
-    """id, cluster of points(id, vector)."""
+    """id, vector, cluster of points(id, vector)."""
+    if k < 2:
+        return points.select("id", "vector", F.lit(0).alias("cluster"))
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -115,7 +117,7 @@ def summarised_clusters(df: DataFrame, point: str, vector: str, k: int, chunks:
     spark = pts.sparkSession
     first = pts.select(F.size("vector").alias("d")).first()
     if first is None:
-        return spark.createDataFrame([], pts.select("id").schema.add("cluster", "int")), []
+        return pts.select("id", F.lit(-1).alias("cluster")), []
     limit = factor * math.sqrt(first["d"])
     ds, cs = _Sets(), _Sets()
     members, retained, rounds, next_cs = [], None, [], 1_000_000

@@ -118,7 +118,7 @@ def fpgrowth_itemsets(rows: DataFrame, support: int) -> DataFrame:
 
     whole = rows.groupBy("basket").agg(F.collect_list("item").alias("items"))
     n = whole.count()
-    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (support - 0.5) / max(1, n))).fit(whole)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(0.0, (support - 0.5) / max(1, n)))).fit(whole)
     return model.freqItemsets.select(F.sort_array("items").alias("items"), F.size("items").alias("size"), F.col("freq").alias("support")).where(F.col("support") >= support)
 
 

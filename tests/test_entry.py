@@ -1,0 +1,51 @@
+"""The entry points, and the queries of the core against their SQL on the smallest tables."""
+
+import glob
+import math
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from sparkmine.plans import catalog
+
+DIR = "/root/testdata/sf0.001"
+
+
+def plain(v):
+    if isinstance(v, float):
+        return None if math.isnan(v) else round(v, 4)
+    return tuple(plain(x) for x in v) if isinstance(v, (list, tuple)) else v
+
+
+@pytest.fixture(scope="module")
+def db():
+    c = duckdb.connect()
+    for p in glob.glob(f"{DIR}/*.parquet"):
+        c.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    return c
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() == 25
+
+
+def test_every_sql_has_its_query():
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_query_equals_sql(spark, db, name):
+    df = entry.queries()[name](spark, DIR)
+    cols = sorted(df.columns)
+    ours = sorted(str([plain(r[c]) for c in cols]) for r in df.collect())
+    cur = db.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in cur.description]
+    theirs = sorted(str([plain(dict(zip(names, r))[c]) for c in cols]) for r in cur.fetchall())
+    assert sorted(names) == cols and ours == theirs
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
+def test_query_without_sql_runs(spark, name):
+    assert entry.queries()[name](spark, DIR).count() >= 0

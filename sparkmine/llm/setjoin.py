@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from ..runtime import col, stored
 
 #: Largest set sizes of the size classes; the last class is open.
+#: Sets above the last are always joined on single prefix tokens.
 CLASSES = (8, 32, 128)
-#: Sets above this size are always joined on single prefix tokens.
-COMBINED = CLASSES[-1]
+#: Candidates up to which their sets, two each at most, are broadcast to leave all others out of the verification.
+FEW = 200_000
 
 
 def _needed(size: Column, threshold: float) -> Column:
@@ -33,8 +34,20 @@ def _needed(size: Column, threshold: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(size * F.lit(threshold) - F.lit(1e-9))).cast("int")
 
 
-def _tokens(df: DataFrame, set_id: str, token: str, side: int) -> DataFrame:
-    return df.select(F.lit(side).alias("side"), col(set_id).cast("string").alias("name"), col(token).cast("string").alias("token")).where("name is not null and token is not null").select("side", "name", F.xxhash64("token").alias("t"))
+def _rows(df: DataFrame, set_id: str, token: str, side: int) -> DataFrame:
+    return df.select(F.lit(side).alias("side"), col(set_id).cast("string").alias("name"), col(token).cast("string").alias("token")).where("name is not null and token is not null")
+
+
+def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct (own, t) fingerprints of sets and tokens, and the names of the sets: own, side, name. No two sets share a
+    fingerprint: that is checked, and another seed taken if any do."""
+    seed = 0
+    while True:
+        own = F.xxhash64(F.lit(seed), "side", "name")
+        names = stored(rows.select(own.alias("own"), "side", "name").distinct())
+        if names.groupBy("own").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return stored(rows.select(own.alias("own"), F.xxhash64("token").alias("t")).distinct()), names
+        seed += 1
 
 
 def similar_sets(df: DataFrame, set_id: str, token: str, threshold: float = 0.5, min_size: int = 1, other: DataFrame | None = None, direct: int = 100_000, in_arrays: int = 4096) -> DataFrame:
@@ -49,23 +62,19 @@ def similar_sets(df: DataFrame, set_id: str, token: str, threshold: float = 0.5,
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    base = _tokens(df, set_id, token, 0)
+    rows = _rows(df, set_id, token, 0)
     if other is not None:
-        base = base.unionByName(_tokens(other, set_id, token, 1))
-    base = base.distinct()
+        rows = rows.unionByName(_rows(other, set_id, token, 1))
+    base, names = _numbered(rows)
 
     # sets of equal content share a representative
     content = [F.count("*").cast("int").alias("size"), F.bit_xor("t").alias("c1"), F.bit_xor(F.xxhash64(F.col("t"), F.lit(1))).alias("c2")]
-    sets = base.groupBy("side", "name").agg(*content).where(F.col("size") >= min_size)
-    sets = stored(sets.withColumn("set", F.xxhash64("size", "c1", "c2")).select("side", "name", "size", "set"))
-    reps = sets.groupBy("set").agg(F.min(F.struct("side", "name")).alias("r"), F.max("side").alias("side_2"), F.first("size").alias("size"))
-    reps = reps.select("set", "size", F.col("r.side").alias("side"), F.col("r.name").alias("name"), F.expr("shiftleft(1, side_2) | shiftleft(1, r.side)").alias("sides"))
-    own = base.join(reps, ["side", "name"]).select("set", "size", "sides", "t")
-    often = own.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
-    # a token of one set only can't be shared; such tokens lead every prefix, so their number is all that matters of them
-    toks = stored(own.join(often, "t").select("set", "size", "sides", "t", F.least("df", F.lit(2**22)).cast("int").alias("df")))
-
-    pairs = _verified(toks, _candidates(toks, threshold, direct, other is not None), threshold, in_arrays)
+    sets = base.groupBy("own").agg(*content).where(F.col("size") >= min_size)
+    sets = stored(sets.join(names, "own").select("own", "side", "name", "size", F.xxhash64("size", "c1", "c2").alias("set")))
+    reps = sets.groupBy("set").agg(F.min("own").alias("own"), F.min("side").alias("side_1"), F.max("side").alias("side_2"), F.first("size").alias("size"))
+    reps = reps.select("own", "set", "size", F.expr("shiftleft(1, side_2) | shiftleft(1, side_1)").alias("sides"))
+    toks = _in_order(base, reps, threshold, direct)
+    pairs = _verified(toks, stored(_candidates(toks, threshold, other is not None)), threshold, in_arrays)
     a, b = (sets.select(F.col("set").alias(k), F.col("name").alias(f"name_{k}"), F.col("side").alias(f"side_{k}"), F.col("size").alias(f"size_{k}")) for k in "ab")
     between = pairs.join(a, "a").join(b, "b")
     alike = a.join(b, F.col("a") == F.col("b")).select(F.col("size_a").alias("overlap"), "name_a", "side_a", "size_a", "name_b", "side_b", "size_b").where("side_a < side_b or (side_a = side_b and name_a < name_b)")
@@ -82,22 +91,31 @@ def similar_sets(df: DataFrame, set_id: str, token: str, threshold: float = 0.5,
     )
 
 
-def _prefixes(toks: DataFrame, threshold: float, direct: int) -> DataFrame:
-    """set, size, sides, t, at: the tokens that are in a prefix for k = 3 at most; at: the k from which they are."""
+def _in_order(base: DataFrame, reps: DataFrame, threshold: float, direct: int) -> DataFrame:
+    """set, size, sides, t, at: the tokens that sets may share, with the least k for which they are in their set's prefix.
+
+    Tokens are ordered by the number of sets that have them, then by t. Those of one set only can't be shared; they lead
+    every prefix, so it is enough to count them.
+    """
+    often = base.groupBy("t").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     need = _needed(F.col("size"), threshold)
-    small = toks.where(F.col("size") <= direct)
-    by_set = W.partitionBy("set")
-    small = small.select("*", F.row_number().over(by_set.orderBy("df", "t")).alias("row"), F.count("*").over(by_set).alias("kept"))
-    # place in the whole order, after the tokens of this set only; in the prefix for k if place <= size - need + k
-    small = small.withColumn("at", F.col("size") - F.col("kept") + F.col("row") - F.col("size") + need).where("at <= 3")
-    key = F.shiftleft(F.col("df").cast("long"), 40).bitwiseOR(F.shiftrightunsigned("t", 24))
-    # the tokens of this set only are left out here, which moves the cut to more of the frequent tokens: too long, never too short
-    share = min(1.0, 1 - threshold + 2 / direct + 2e-4)
-    large = toks.where(F.col("size") > direct).withColumn("key", key)
-    cut = large.groupBy("set").agg(F.percentile_approx("key", share, 10_000).alias("cut"))
-    large = large.join(cut, "set").where("key <= cut")
+    large = reps.where(F.col("size") > direct)
+    n_large = large.count()  # at most rows / direct
+    small = base.join(F.broadcast(large.select("own")), "own", "left_anti") if n_large else base
+    by_set = W.partitionBy("own")
+    small = small.join(often, "t").join(reps.where(F.col("size") <= direct), "own")
+    small = small.select("*", F.row_number().over(by_set.orderBy("df", "t")).alias("row"), F.count("*").over(by_set).alias("kept")).where(F.col("kept") >= need)
+    # place in the whole order is size - kept + row; in the prefix for k if place <= size - need + k
     columns = ["set", "size", "sides", "t"]
-    return small.select(*columns, F.greatest("at", F.lit(1)).cast("int").alias("at")).unionByName(large.select(*columns, F.lit(1).alias("at")))
+    toks = small.select(*columns, F.greatest(F.lit(1), F.col("row") - F.col("kept") + need).cast("int").alias("at"))
+    if n_large:
+        held = base.join(F.broadcast(large), "own").join(often, "t")
+        held = stored(held.select(*columns, F.shiftleft(F.least("df", F.lit(2**22)).cast("long"), 40).bitwiseOR(F.shiftrightunsigned("t", 24)).alias("key")))
+        # tokens of one set only are left out here, which moves the cut to more of the frequent ones: too long, never too short
+        share = min(1.0, 1 - threshold + 2 / direct + 2e-4)
+        cut = held.groupBy("set").agg(F.percentile_approx("key", share, 10_000).alias("cut"))
+        toks = toks.unionByName(held.join(F.broadcast(cut), "set").select(*columns, F.when(F.col("key") <= F.col("cut"), 1).otherwise(2**30).alias("at")))
+    return stored(toks)
 
 
 def _classed(df: DataFrame, threshold: float) -> DataFrame:
@@ -107,9 +125,9 @@ def _classed(df: DataFrame, threshold: float) -> DataFrame:
     return df.withColumn("class", F.explode(F.sequence(of(F.col("size")), of(most)))).withColumn("home", of(F.col("size")) == F.col("class"))
 
 
-def _candidates(toks: DataFrame, threshold: float, direct: int, between: bool) -> DataFrame:
-    pre = stored(_prefixes(toks, threshold, direct))
-    classed = _classed(pre, threshold)
+def _candidates(toks: DataFrame, threshold: float, between: bool) -> DataFrame:
+    """a, b, size_a, size_b: representatives that share enough prefix tokens."""
+    classed = _classed(toks.where("at <= 3"), threshold)
     ks = _choose(classed, threshold)
     sigs = []
     single = [c for c, k in ks.items() if k == 1]
@@ -152,6 +170,9 @@ def _choose(classed: DataFrame, threshold: float) -> dict[int, int]:
 
 def _verified(toks: DataFrame, cand: DataFrame, threshold: float, in_arrays: int) -> DataFrame:
     """a, b, overlap of the candidates that are similar enough."""
+    if cand.count() <= FEW:
+        met = cand.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+        toks = toks.join(F.broadcast(met), "set", "left_semi")
     fits = F.col("size_a") <= in_arrays
     near = cand.where(fits & (F.col("size_b") <= in_arrays))
     far = cand.where(~(fits & (F.col("size_b") <= in_arrays)))

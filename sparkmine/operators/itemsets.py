@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import col, stored
+from ..runtime import col, parts_for, stored
 
 
 def baskets(df: DataFrame, basket: str | Column, item: str | Column) -> DataFrame:
@@ -80,14 +80,18 @@ def _local(part: list[list], threshold: int, max_size: int | None) -> Iterator[t
         level = longer
 
 
-def two_pass_candidates(rows: DataFrame, support: int, parts: int | None = None, max_size: int | None = None) -> DataFrame:
+#: Rows that one part of the baskets holds in a Python worker, and the least threshold within a part.
+ROWS_PER_PART, LEAST_LOCAL = 500_000, 10
+
+
+def two_pass_candidates(rows: DataFrame, support: int, parts: int, max_size: int | None = None) -> DataFrame:
     """items of every set that is frequent in some part of the baskets at the part's share of the support.
 
     A set below that share in each part is below the support in all, so no frequent set is missed.
     """
     whole = rows.groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("items"))
     n = whole.count()
-    whole = whole.repartition(parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "basket").select("items")
+    whole = whole.repartition(parts, "basket").select("items")
     kind = whole.schema["items"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +108,18 @@ def two_pass_candidates(rows: DataFrame, support: int, parts: int | None = None,
 
 
 def two_pass_itemsets(rows: DataFrame, support: int, parts: int | None = None, max_size: int | None = None) -> DataFrame:
-    """The same as frequent_itemsets, by two passes; candidates are counted by joins on their items, not by scanning lists."""
+    """The same as frequent_itemsets, by two passes; candidates are counted by joins on their items, not by scanning lists.
+
+    parts: by default so many that a part fits a worker. Where that would leave a part a threshold of a few baskets, at
+    which almost every combination is a candidate, the sets are found level by level instead.
+    """
+    if parts is None:
+        spark, n = rows.sparkSession, rows.count()
+        parts = parts_for(spark, n, ROWS_PER_PART)
+        if support < parts * LEAST_LOCAL:
+            parts = parts_for(spark, n, ROWS_PER_PART, least=max(1, support // LEAST_LOCAL))
+        if support < parts * LEAST_LOCAL and parts > 1:
+            return frequent_itemsets(rows, support, max_size)
     cand = stored(two_pass_candidates(rows, support, parts, max_size).withColumn("candidate", F.xxhash64("items")))
     long = cand.select("candidate", F.size("items").alias("size"), F.explode("items").alias("item"))
     held = rows.join(long, "item").groupBy("basket", "candidate", "size").agg(F.count("*").alias("n")).where("n = size")

@@ -59,9 +59,11 @@ def distinct_estimates(rows: DataFrame, coeffs: list[tuple[int, int]] = FM_FAMIL
     """
     values = rows.select("batch", "value").distinct()
     truth = values.groupBy("batch").agg(F.count("*").alias("n_distinct"))
-    hashed = values.select("batch", linear_hashes(text_number(F.col("value")), coeffs).alias("h"))
-    zeros = lambda h: F.when(h == 0, F.lit(0)).otherwise(F.bit_count(h.bitwiseAND(-h) - 1))
-    most = hashed.groupBy("batch").agg(*(F.max(zeros(F.col("h")[i])).alias(f"r{i}") for i in range(len(coeffs))))
+    # in generated code, one column a hash: the lowest set bit of each hash, 0 for none; the largest per batch
+    hashed = values.select("batch", F.pmod(text_number(F.col("value")), F.lit(P)).alias("x"))
+    hashed = hashed.select("batch", *(F.pmod(F.lit(a).cast("bigint") * F.col("x") + F.lit(b).cast("bigint"), F.lit(P)).alias(f"h{i}") for i, (a, b) in enumerate(coeffs)))
+    low = hashed.groupBy("batch").agg(*(F.max(F.col(f"h{i}").bitwiseAND(-F.col(f"h{i}"))).alias(f"l{i}") for i in range(len(coeffs))))
+    most = low.select("batch", *(F.when(F.col(f"l{i}") == 0, F.lit(0)).otherwise(F.bit_count(F.col(f"l{i}") - 1)).alias(f"r{i}") for i in range(len(coeffs))))
     powers = most.select("batch", F.posexplode(F.array_sort(F.array(*(F.pow(F.lit(2.0), f"r{i}") for i in range(len(coeffs)))))).alias("at", "p"))
     means = powers.where(F.col("at") < FM_GROUPS * FM_PER_GROUP).groupBy("batch", F.floor(F.col("at") / FM_PER_GROUP).alias("g")).agg(F.avg("p").alias("m"))
     return means.groupBy("batch").agg(F.round(F.median("m")).cast("long").alias("estimate")).join(truth, "batch").select("batch", "n_distinct", "estimate")

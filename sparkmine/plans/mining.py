@@ -30,28 +30,28 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def frequent_itemsets_of_users(spark, sf_dir):
-    rows = user_baskets(spark, sf_dir)
+    rows = stored(user_baskets(spark, sf_dir))
     return _flat(its.frequent_itemsets(rows, _support(rows, USERS_PERCENT), 3))
 
 
 def frequent_itemsets_of_items(spark, sf_dir):
-    rows = user_baskets(spark, sf_dir).select(F.col("item").alias("basket"), F.col("basket").alias("item"))
+    rows = stored(user_baskets(spark, sf_dir).select(F.col("item").alias("basket"), F.col("basket").alias("item")))
     return _flat(its.frequent_itemsets(rows, _support(rows, ITEMS_PERCENT), 3))
 
 
 def two_pass_itemsets(spark, sf_dir):
-    rows = user_baskets(spark, sf_dir)
+    rows = stored(user_baskets(spark, sf_dir))
     return _flat(its.two_pass_itemsets(rows, _support(rows, USERS_PERCENT), max_size=3))
 
 
 def fpgrowth_itemsets(spark, sf_dir):
-    rows = user_baskets(spark, sf_dir)
+    rows = stored(user_baskets(spark, sf_dir))
     return _flat(its.fpgrowth_itemsets(rows, _support(rows, USERS_PERCENT)).where("size <= 3"))
 
 
 def all_frequent_itemsets(spark, sf_dir):
     """Without a bound on the size."""
-    rows = user_baskets(spark, sf_dir)
+    rows = stored(user_baskets(spark, sf_dir))
     return _flat(its.frequent_itemsets(rows, _support(rows, USERS_PERCENT)))
 
 
@@ -61,7 +61,7 @@ def transaction_itemsets(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     p = table(spark, sf_dir, "part").select("p_partkey", F.regexp_extract("p_brand", "([0-9]+)", 1).alias("brand"))
     t = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
-    rows = its.larger_baskets(its.baskets(transactions(t, "o_custkey", "day", "brand"), "basket", "item"), 3)
+    rows = stored(its.larger_baskets(its.baskets(transactions(t, "o_custkey", "day", "brand"), "basket", "item"), 3))
     return _flat(its.frequent_itemsets(rows, _support(rows, DAYS_PERCENT), 2))
 
 

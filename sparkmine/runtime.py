@@ -56,6 +56,16 @@ def drop_stored() -> None:
             pass
 
 
-def parts_for(spark: SparkSession, rows: int, rows_per_part: int) -> int:
-    """Partitions that hold about rows_per_part rows each, at least those the session is set to."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / max(1, rows_per_part)))
+def parts_for(spark: SparkSession, rows: int, rows_per_part: int, least: int | None = None) -> int:
+    """Partitions that hold about rows_per_part rows each; at least ``least``, by default as many as the session is set to."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions")) if least is None else least
+    return max(least, math.ceil(rows / max(1, rows_per_part)))
+
+
+#: Rows up to which a side with a few plain columns may be broadcast (some tens of MB).
+FEW = 200_000
+
+
+def sent_if_few(df: DataFrame, rows: int, few: int = FEW) -> DataFrame:
+    """A join side of so many rows (counted, or bounded by a parameter): marked for broadcast only if they are few."""
+    return F.broadcast(df) if rows <= few else df

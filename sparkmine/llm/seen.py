@@ -121,16 +121,24 @@ def seen_before(df: DataFrame, key: str, order: str, error: float = 0.001, shard
     """For each record whether its key occurred in a record of smaller order: key, order, maybe_seen (the filter's answer),
     seen (after an exact check of the answers), wrong (they differ), bound (of the chance of a wrong answer).
 
-    The check needs the first order of every key, one aggregation combined on the map side, and takes nothing but it
-    back from the answers. Of records with the same key and order none precedes the other. Records with a null key
-    have seen = false and no bound: no key, no earlier one. Records with a null order have seen = null. Repeated
-    rows are answered each. An empty table has no rows; other columns are ignored.
+    "Not seen" is final, and so is "seen" for records that had no need to ask. Only the filters' positive answers are
+    checked: against the record that brought the key in (the filter's one negative answer for it), or, for the few keys
+    whose first record was wrongly answered already, against the least order among their positive answers.
+
+    Of records with the same key and order none precedes the other. Records with a null key have seen = false and no bound:
+    no key, no earlier one. Records with a null order have seen = null. Repeated rows are answered each. An empty table has
+    no rows; other columns are ignored.
     """
     answers = stored(bloom_seen(df, key, order, error, shards))
-    firsts = answers.groupBy("key").agg(F.min("order").alias("order")).withColumn("is_first", F.lit(True))
-    checked = answers.join(firsts, ["key", "order"], "left")
-    seen = F.col("is_first").isNull()
-    out = checked.select("key", "order", "maybe_seen", seen.alias("seen"), (F.col("maybe_seen") != seen).alias("wrong"), "bound")
+    negative = answers.where(~F.col("maybe_seen"))
+    sure = answers.where("maybe_seen and not asked")
+    positive = answers.where("maybe_seen and asked")
+    # a key has one negative answer at most, as it is put in with it
+    brought = negative.select("key", F.col("order").alias("first"))
+    missed = positive.join(brought, "key", "left_anti").groupBy("key").agg(F.min("order").alias("first"))
+    checked = positive.join(brought.unionByName(missed), "key").withColumn("seen", F.col("order") > F.col("first"))
+    out = checked.select(*answers.columns, "seen").unionByName(negative.withColumn("seen", F.lit(False))).unionByName(sure.withColumn("seen", F.lit(True)))
+    out = out.select("key", "order", "maybe_seen", "seen", (F.col("maybe_seen") != F.col("seen")).alias("wrong"), "bound")
     rest = df.select(col(key).cast("string").alias("key"), col(order).cast("long").alias("order")).where("key is null or order is null")
     none = F.when(F.col("order").isNotNull(), False)
     return out.unionByName(rest.select("key", "order", none.alias("maybe_seen"), none.alias("seen"), none.alias("wrong"), F.lit(None).cast("double").alias("bound")))

@@ -20,13 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..runtime import col, stored
+from ..runtime import FEW, col, sent_if_few, stored
 
 #: Largest set sizes of the size classes; the last class is open.
 #: Sets above the last are always joined on single prefix tokens.
 CLASSES = (8, 32, 128)
-#: Candidates up to which their sets, two each at most, are broadcast to leave all others out of the verification.
-FEW = 200_000
 
 
 def _needed(size: Column, threshold: float) -> Column:
@@ -101,7 +99,7 @@ def _in_order(base: DataFrame, reps: DataFrame, threshold: float, direct: int) -
     need = _needed(F.col("size"), threshold)
     large = reps.where(F.col("size") > direct)
     n_large = large.count()  # at most rows / direct
-    small = base.join(F.broadcast(large.select("own")), "own", "left_anti") if n_large else base
+    small = base.join(sent_if_few(large.select("own"), n_large), "own", "left_anti") if n_large else base
     by_set = W.partitionBy("own")
     small = small.join(often, "t").join(reps.where(F.col("size") <= direct), "own")
     small = small.select("*", F.row_number().over(by_set.orderBy("df", "t")).alias("row"), F.count("*").over(by_set).alias("kept")).where(F.col("kept") >= need)
@@ -109,12 +107,12 @@ def _in_order(base: DataFrame, reps: DataFrame, threshold: float, direct: int) -
     columns = ["set", "size", "sides", "t"]
     toks = small.select(*columns, F.greatest(F.lit(1), F.col("row") - F.col("kept") + need).cast("int").alias("at"))
     if n_large:
-        held = base.join(F.broadcast(large), "own").join(often, "t")
+        held = base.join(sent_if_few(large, n_large), "own").join(often, "t")
         held = stored(held.select(*columns, F.shiftleft(F.least("df", F.lit(2**22)).cast("long"), 40).bitwiseOR(F.shiftrightunsigned("t", 24)).alias("key")))
         # tokens of one set only are left out here, which moves the cut to more of the frequent ones: too long, never too short
         share = min(1.0, 1 - threshold + 2 / direct + 2e-4)
         cut = held.groupBy("set").agg(F.percentile_approx("key", share, 10_000).alias("cut"))
-        toks = toks.unionByName(held.join(F.broadcast(cut), "set").select(*columns, F.when(F.col("key") <= F.col("cut"), 1).otherwise(2**30).alias("at")))
+        toks = toks.unionByName(held.join(sent_if_few(cut, n_large), "set").select(*columns, F.when(F.col("key") <= F.col("cut"), 1).otherwise(2**30).alias("at")))
     return stored(toks)
 
 
@@ -170,9 +168,9 @@ def _choose(classed: DataFrame, threshold: float) -> dict[int, int]:
 
 def _verified(toks: DataFrame, cand: DataFrame, threshold: float, in_arrays: int) -> DataFrame:
     """a, b, overlap of the candidates that are similar enough."""
-    if cand.count() <= FEW:
-        met = cand.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-        toks = toks.join(F.broadcast(met), "set", "left_semi")
+    n = cand.count()
+    if n <= FEW // 2:  # the other sets are left out of the verification
+        toks = toks.join(sent_if_few(cand.select(F.explode(F.array("a", "b")).alias("set")).distinct(), 2 * n), "set", "left_semi")
     fits = F.col("size_a") <= in_arrays
     near = cand.where(fits & (F.col("size_b") <= in_arrays))
     far = cand.where(~(fits & (F.col("size_b") <= in_arrays)))

@@ -101,14 +101,15 @@ def placed(df: DataFrame, plan: LoadPlan, spread: Column) -> DataFrame:
     Rows of a split key are spread by the hash of ``spread``: rows that agree in it stay together.
     """
     spark = df.sparkSession
-    light = F.element_at(F.array(*(F.lit(plan.salt[t]) for t in plan.bucket_task)) if len(plan.bucket_task) < 2048 else F.lit([plan.salt[t] for t in plan.bucket_task]), (F.pmod(F.xxhash64("field", "key"), F.lit(plan.buckets)) + 1).cast("int"))
+    # both tables are bounded by the number of tasks
+    of_bucket = spark.createDataFrame([(b, plan.salt[t]) for b, t in enumerate(plan.bucket_task)], "bucket int, light int")
+    df = df.withColumn("bucket", F.pmod(F.xxhash64("field", "key"), F.lit(plan.buckets)).cast("int")).join(F.broadcast(of_bucket), "bucket", "left").drop("bucket")
     if plan.split:
-        # the number of split keys is bounded by the number of tasks
         df = df.join(F.broadcast(plan.split_frame(spark)), ["field", "key"], "left")
         shard = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64(spread), F.size("salts"))).cast("int")
-        df = df.withColumn("shard", F.coalesce(shard, F.lit(0))).withColumn("salt", F.when(F.col("salts").isNotNull(), F.element_at("salts", F.col("shard") + 1)).otherwise(light)).drop("salts")
+        df = df.withColumn("shard", F.coalesce(shard, F.lit(0))).withColumn("salt", F.when(F.col("salts").isNotNull(), F.element_at("salts", F.col("shard") + 1)).otherwise(F.col("light"))).drop("salts", "light")
     else:
-        df = df.withColumn("shard", F.lit(0)).withColumn("salt", light)
+        df = df.withColumn("shard", F.lit(0)).withColumnRenamed("light", "salt")
     return df.repartition(plan.tasks, "salt")
 
 

@@ -29,15 +29,15 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where("n_records * 100 >= n_total * 2").select("field_name", "key_value")
 
 
-def stars_by_city(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deliveries and mean stars by city as spelt, over the skewed join of reviews with businesses."""
-    r = reviews(spark, sf_dir).select("business_id", "stars")
-    b = table(spark, sf_dir, "business").select(clean_id(F.col("business_id")).alias("business_id"), "city")
+def listed_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each business's mean delivered stars next to its listed ones, over the skewed join of reviews with businesses."""
+    r = reviews(spark, sf_dir).select("business_id", F.col("stars").alias("given"))
+    b = table(spark, sf_dir, "business").select(clean_id(F.col("business_id")).alias("business_id"), "city", "stars")
     j = fragment_replicate_join(r, b, "business_id")
-    return j.groupBy("city").agg(F.count("*").alias("n_deliveries"), F.round(F.avg("stars"), 6).alias("mean_stars"))
+    return j.groupBy("business_id", "city", F.col("stars").alias("listed_stars")).agg(F.count("*").alias("n_deliveries"), F.round(F.avg("given"), 6).alias("mean_stars"))
 
 
-QUERIES = {"p7_found": found, "p7_key_stats": key_stats, "p7_stars_by_city": stars_by_city}
+QUERIES = {"p7_found": found, "p7_key_stats": key_stats, "p7_listed_stars": listed_stars}
 
 _CLEAN = "nullif(trim({0}, ' \t\r\n'), '')"
 _REVIEWS = f"""with r as (select {_CLEAN.format('review_id')} rid, {_CLEAN.format('user_id')} u, {_CLEAN.format('business_id')} b, stars, loaded_at from review),
@@ -48,6 +48,6 @@ s as (select field_name, key_value, count(*) n_reviews, round(avg(stars), 6) mea
 SQL = {
     "p7_found": _REVIEWS + "select field_name, key_value from s where n_reviews * 100 >= 2 * (select count(*) from d)",
     "p7_key_stats": _REVIEWS + "select * from s",
-    "p7_stars_by_city": f"""select city, count(*) n_deliveries, round(avg(r.stars), 6) mean_stars from review r join business b
-on {_CLEAN.format('r.business_id')} = {_CLEAN.format('b.business_id')} group by city""",
+    "p7_listed_stars": f"""select {_CLEAN.format('b.business_id')} business_id, city, b.stars listed_stars, count(*) n_deliveries, round(avg(r.stars), 6) mean_stars from review r join business b
+on {_CLEAN.format('r.business_id')} = {_CLEAN.format('b.business_id')} group by 1, 2, 3""",
 }

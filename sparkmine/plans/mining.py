@@ -79,8 +79,7 @@ def lsh_verified_pairs(spark, sf_dir):
 
 
 def jaccard_pairs(spark, sf_dir):
-    rows = business_users(spark, sf_dir)
-    return _pairs(sim.verified(sim.overlap_pairs(rows).select("id_1", "id_2"), rows, 0.5))
+    return _pairs(sim.similar_pairs(business_users(spark, sf_dir), 0.5))
 
 
 LEAST_COMMON = 30

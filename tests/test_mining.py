@@ -95,6 +95,8 @@ def test_lsh_equals_exact(spark):
     want = brute_jaccard(rows, 0.5)
     exact = sim.verified(sim.overlap_pairs(m).select("id_1", "id_2"), m, 0.5)
     found = sim.lsh_pairs(m, 0.5)
+    assert {(r["id_1"], r["id_2"]) for r in sim.similar_pairs(m, 0.5).collect()} == want
+    assert {(r["id_1"], r["id_2"]) for r in sim.similar_pairs(m, 0.8).collect()} == brute_jaccard(rows, 0.8)
     assert {(r["id_1"], r["id_2"]) for r in exact.collect()} == want == {(r["id_1"], r["id_2"]) for r in found.collect()}
     assert all(0.5 <= r["similarity"] <= 1 for r in found.collect())
 
@@ -113,6 +115,19 @@ def test_copies_of_a_set_meet(spark):
     assert sim.lsh_pairs(m.limit(0), 0.9).count() == 0
 
 
+@pytest.mark.parametrize("least, ranked", [(1, 9), (3, 100), (5, 100), (5, 8)])
+def test_overlaps_equal_brute_force(spark, monkeypatch, least, ranked):
+    monkeypatch.setattr(sim, "RANKED", ranked)
+    rows = set_rows()
+    sets = {}
+    for s, m in rows:
+        if s is not None and m is not None:
+            sets.setdefault(s, set()).add(m)
+    want = {(x, y, n) for x, y in combinations(sorted(sets), 2) if (n := len(sets[x] & sets[y])) >= least}
+    m = sim.members(spark.createDataFrame(rows, "s string, m string"), "s", "m")
+    assert {tuple(r) for r in sim.overlap_pairs(m, least).collect()} == want
+
+
 def test_overlap_pairs_at_least(spark):
     m = sim.members(spark.createDataFrame([(s, x) for s, xs in {"a": "123", "b": "234", "c": "9", "d": "34"}.items() for x in xs], "s string, m string"), "s", "m")
     assert {tuple(r) for r in sim.overlap_pairs(m, 2).collect()} == {("a", "b", 2), ("b", "d", 2)}

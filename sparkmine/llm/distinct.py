@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import col
+from ..runtime import col, stored
 
 BUCKETS = 1024
 
@@ -75,7 +75,10 @@ def distinct_counts(df: DataFrame, identifiers: Sequence[str], groups: Sequence[
     table has no rows.
     """
     index = {g: i for i, g in enumerate(groups)}
-    parts = bucket_counts(identifier_pairs(df, identifiers, groups, buckets), len(groups), [[index[g] for g in c] for c in combinations])
+    pairs = identifier_pairs(df, identifiers, groups, buckets)
+    if len(combinations) > 1:
+        pairs = stored(pairs)  # else each combination would scan and deduplicate the input again
+    parts = bucket_counts(pairs, len(groups), [[index[g] for g in c] for c in combinations])
     names = [f"g{i}" for i in range(len(groups))]
     sums = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k in identifiers]
     added = parts.groupBy("combination", *names).agg(*sums)

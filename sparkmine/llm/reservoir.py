@@ -68,7 +68,7 @@ def reservoir_states(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
                     upcoming += 1 + (math.floor(math.log(1 - rng.random()) / math.log1p(-w)) if w > 1e-300 else 2**62)
             seen += n
             for slot, place in new.items():
-                kept[slot] = pa.array(row.slice(place, 1).to_pylist(), row.type)
+                kept[slot] = row.take(pa.array([place], pa.int64()))  # a copy, so that the batch can go
         if seen:
             rows = pa.concat_arrays(kept)
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(kept), pa.int64()), pa.array([seen] * len(kept), pa.int64()), rows], names=["part", "seen", "row"])
@@ -110,6 +110,15 @@ def merge_states(states: DataFrame, k: int, seed: int = 0, fan_in: int = FAN_IN,
             return states
 
 
+def together(*states: DataFrame) -> DataFrame:
+    """The states of pieces that arrived separately, with their partitions numbered apart, to be merged."""
+    whole = None
+    for i, s in enumerate(states):
+        s = s.withColumn("part", F.col("part") * len(states) + i)
+        whole = s if whole is None else whole.unionByName(s)
+    return whole
+
+
 def fixed_sample(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """A uniform random sample of min(k, rows) rows of df, all its columns, with population: the number of records seen.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkmine.llm.distinct import bucket_counts, distinct_counts, identifier_pairs, merge_pairs
 from sparkmine.llm.frequent import frequent_values
-from sparkmine.llm.reservoir import _taken, fixed_sample, merge_states, reservoir_states
+from sparkmine.llm.reservoir import _taken, fixed_sample, merge_states, reservoir_states, together
 from sparkmine.llm.seen import BloomChain, bloom_seen, seen_before, wrong_rate
 
 IDS = [("u1", "d1", "b1"), ("u1", "d1", "b1"), ("u1", "d2", "b1"), ("u2", "d1", "b1"), ("u2", "d1", None), (None, "d1", "b2"), ("u3", None, "b2"), ("u1", "d1", "b2")]
@@ -87,6 +87,24 @@ def test_sample_is_uniform(spark):
             assert abs(counts[a:b].mean() - expected) < 5 * (expected / (b - a)) ** 0.5
 
 
+def test_pieces_that_arrive_separately(spark):
+    pieces = [spark.range(0, 5, 1, 1), spark.range(5, 305, 1, 3), spark.range(305, 400, 1, 2)]
+    got = Counter()
+    for seed in range(40):
+        done = [merge_states(reservoir_states(p, 20, 100 * seed + i), 20, 100 * seed + i) for i, p in enumerate(pieces)]
+        rows = merge_states(together(*done), 20, seed).collect()
+        assert len({r["row"]["id"] for r in rows}) == 20 and {r["seen"] for r in rows} == {400}
+        got.update("a" if r["row"]["id"] < 5 else "b" if r["row"]["id"] < 305 else "c" for r in rows)
+    assert abs(got["b"] - 600) < 60 and abs(got["c"] - 190) < 55 and got["a"] < 30
+
+
+def test_sample_keeps_any_type(spark):
+    df = spark.sql("select id, timestamp_ntz'2020-01-01 00:00:00' t, timestamp'2020-01-01 00:00:00' z, array(id) a, map('k', id) m, cast(null as string) s, cast(1.5 as decimal(9,2)) d, date'2020-01-01' y, named_struct('x', id) n from range(50)")
+    got = fixed_sample(df, 10)
+    assert got.drop("population").dtypes == df.dtypes and got.count() == 10
+    assert set(map(str, got.drop("population").collect())) <= set(map(str, df.collect()))
+
+
 def test_draws_follow_population_sizes():
     rng = random.Random(0)
     total = np.sum([_taken([10, 10**12, 3 * 10**12], 100, rng) for _ in range(200)], axis=0)

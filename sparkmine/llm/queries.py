@@ -11,7 +11,7 @@ from .cooccurrence import item_pairs
 from .distinct import distinct_counts
 from .frequent import frequent_values
 from .leakage import leaked_items
-from .packing import fill, packed, token_sizes
+from .packing import packed, token_sizes
 from .readability import is_english, reading_levels
 from .reservoir import fixed_sample
 from .seen import seen_before, wrong_rate
@@ -98,10 +98,6 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(sizes, "item", "n_tokens", 2048).withColumnRenamed("item", "doc_id")
 
 
-def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fill(p8_packed(spark, sf_dir), 2048)
-
-
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "text", "question", "answer")
 
@@ -120,7 +116,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.where("n_words >= 40 and reading_level >= 4").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_pairs, p3_found, p3_distinct, p4_sample, p5_found, p5_seen, p5_wrong_rate, p6_found, p6_top, p8_packed, p8_usage, p9_found, p9_leaks, p10_found, p10_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_pairs, p3_found, p3_distinct, p4_sample, p5_found, p5_seen, p5_wrong_rate, p6_found, p6_top, p8_packed, p9_found, p9_leaks, p10_found, p10_levels)}
 
 _T = "nullif(trim({0}, ' \t\r\n'), '')"
 _WHOLE = "try_cast(nullif(regexp_extract(trim({0}, ' \t\r\n'), '^([+-]?[0-9]+)(\\.0*)?$', 1), '') as bigint)"

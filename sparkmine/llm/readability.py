@@ -42,10 +42,11 @@ def features(text: str | None) -> tuple[int, np.ndarray | None]:
     """The number of words and the features; none for a text without words."""
     if not text:
         return 0, None
-    all_words = WORD.findall(normal(text))
-    text = TAG.sub(" . ", text)
     body = normal(text)
-    ws = WORD.findall(body)
+    ws = all_words = WORD.findall(body)
+    if "<" in text:
+        body = normal(TAG.sub(" . ", text))
+        ws = WORD.findall(body)
     n = len(ws)
     if not n:
         return len(all_words), None

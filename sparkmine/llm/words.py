@@ -6,14 +6,15 @@ import re
 import unicodedata
 
 #: Soft hyphen, zero-width space, word joiner, byte-order mark.
-INVISIBLE = dict.fromkeys((0x00AD, 0x200B, 0x2060, 0xFEFF))
+INVISIBLE = "\u00ad\u200b\u2060\ufeff"
+DROPPED = re.compile(f"[{INVISIBLE}]+")
 WORD = re.compile(r"[^\W_]+")
 
 
 def normal(text: str) -> str:
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFKC", text.translate(INVISIBLE)).lower()
+    return unicodedata.normalize("NFKC", DROPPED.sub("", text)).lower()
 
 
 def words(text: str) -> list[str]:
@@ -27,7 +28,7 @@ def word_spans(text: str) -> list[tuple[int, int]] | None:
     at, n, out, starts, ends = 0, len(text), [], [], []
     while at < n:
         end = at + 1
-        while end < n and (unicodedata.combining(text[end]) or ord(text[end]) in INVISIBLE):
+        while end < n and (unicodedata.combining(text[end]) or text[end] in INVISIBLE):
             end += 1
         piece = normal(text[at:end])
         out.append(piece)

@@ -25,6 +25,8 @@ from ..runtime import FEW, col, sent_if_few, stored
 #: Largest set sizes of the size classes; the last class is open.
 #: Sets above the last are always joined on single prefix tokens.
 CLASSES = (8, 32, 128)
+#: What a candidate costs to deduplicate and verify, in signatures (measured).
+CANDIDATE_COST = 5
 
 
 def _needed(size: Column, threshold: float) -> Column:
@@ -153,7 +155,11 @@ def _candidates(toks: DataFrame, threshold: float, between: bool) -> DataFrame:
 
 
 def _choose(classed: DataFrame, threshold: float) -> dict[int, int]:
-    """The k of each class. Cost: signatures emitted plus candidates met; a further shared token is taken to leave an eighth of them."""
+    """The k of each class, from counts over all its sets.
+
+    Cost: signatures emitted, and candidates met at CANDIDATE_COST each; a further shared token is taken to leave an eighth
+    of them.
+    """
     met = classed.where("at <= 1").groupBy("class", "t").agg(F.count("*").cast("double").alias("f")).groupBy("class").agg(F.sum("f").alias("e1"), F.sum(F.col("f") * F.col("f")).alias("met"))
     lens = classed.groupBy("class", "set", "size").agg(*(F.count_if(F.col("at") <= k).cast("double").alias(f"n{k}") for k in (2, 3)))
     two = F.col("n2") * (F.col("n2") - 1) / 2
@@ -162,7 +168,7 @@ def _choose(classed: DataFrame, threshold: float) -> dict[int, int]:
     ks = {}
     for r in met.join(more, "class").collect():  # one row per class
         most = min(3, r["least"]) if r["class"] < len(CLASSES) else 1
-        ks[r["class"]] = min(range(1, most + 1), key=lambda k: r[f"e{k}"] * k + r["met"] / 8 ** (k - 1))
+        ks[r["class"]] = min(range(1, most + 1), key=lambda k: r[f"e{k}"] + CANDIDATE_COST * (r["met"] - r["e1"]) / 2 / 8 ** (k - 1))
     return ks
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import P, coefficients, linear_hashes, text_number
-from ..runtime import col
+from ..runtime import col, stored
 
 BITS = 69_997
 FM_FAMILY = coefficients(100, seed=23)
@@ -26,6 +26,29 @@ def stream(df: DataFrame, seq: str, value: str, batch_size: int) -> DataFrame:
     return rows.withColumn("batch", F.floor(F.col("seq") / batch_size).cast("long"))
 
 
+def dense_index(df: DataFrame, name: str = "row_no") -> DataFrame:
+    """df with row numbers 0, 1, 2 ... in the order of its partitions: numbers within each partition, plus the rows of
+    those before it. Only one count a partition is gathered."""
+    marked = df.select("*", F.monotonically_increasing_id().alias("_id"))
+    marked = stored(marked.select("*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit(2**33 - 1)).alias("_at")))
+    counts = marked.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a partition
+    return marked.join(before, "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_id", "_part", "_at", "_before")
+
+
+def simulated_stream(df: DataFrame, value: str, batch_size: int, batches: int, seed: int = 0, index: str | None = None) -> DataFrame:
+    """batch, seq, value: batches of records drawn uniformly with replacement from all rows of df; a join, not a re-reading
+    of the data for each batch. The draws come from hashes of (seed, seq), so they are the same every time.
+
+    index: a column that numbers the rows 0, 1, 2 ..., if df has one. An empty table gives no rows.
+    """
+    rows = dense_index(df.select(col(value).cast("string").alias("value")), "row_no") if index is None else df.select(col(value).cast("string").alias("value"), col(index).cast("long").alias("row_no"))
+    n = rows.count()
+    draws = df.sparkSession.range(batch_size * batches if n else 0).select(F.col("id").alias("seq"), F.floor(F.col("id") / batch_size).cast("long").alias("batch"))
+    draws = draws.withColumn("row_no", F.pmod(text_number(F.concat_ws("/", F.lit(str(seed)), F.col("seq").cast("string"))), F.lit(max(1, n))))
+    return draws.join(rows, "row_no").select("batch", "seq", "value")
+
+
 def hash_count(bits: int, expected: int) -> int:
     """The best number of hashes for so many expected values, at least 1."""
     return max(1, round(bits / max(1, expected) * math.log(2)))

@@ -73,6 +73,14 @@ def events_by_month(spark, sf_dir):
     return a.group_count(e, "y", "m", name="n_events")
 
 
+def top10_customers(spark, sf_dir):
+    return a.top_k(table(spark, sf_dir, "orders"), "o_custkey", 10, "n_orders")
+
+
+def top10_parts(spark, sf_dir):
+    return a.top_k(table(spark, sf_dir, "lineitem"), "l_partkey", 10, "n_lines")
+
+
 def top_event_types(spark, sf_dir):
     """The most frequent event types, with ties."""
     return a.top_groups(a.group_count(table(spark, sf_dir, "events"), "event_type", name="n_events"), "n_events")
@@ -97,7 +105,7 @@ def hash_partition_profile(spark, sf_dir):
     return a.partition_profile(table(spark, sf_dir, "review"), 16, "business_id")
 
 
-QUERIES = {f.__name__: f for f in (avg_price_by_nation, review_count, reviews_in_2018, distinct_users, distinct_businesses, top10_users, top10_businesses, review_report, city_stars, event_count, events_by_month, top_event_types, order_baskets_over_6, customer_day_baskets, partition_profile, hash_partition_profile)}
+QUERIES = {f.__name__: f for f in (avg_price_by_nation, review_count, reviews_in_2018, distinct_users, distinct_businesses, top10_users, top10_businesses, review_report, city_stars, event_count, events_by_month, top10_customers, top10_parts, top_event_types, order_baskets_over_6, customer_day_baskets, partition_profile, hash_partition_profile)}
 
 _U, _B, _D = CLEAN_SQL.format("user_id"), CLEAN_SQL.format("business_id"), DAY_SQL.format("date")
 _TOP = "select {0} {1}, count(*) n_review from review where {0} is not null group by 1 order by 2 desc, 1 limit 10"
@@ -115,6 +123,8 @@ SQL = {
     "city_stars": f"select city, round(avg(r.stars), 6) stars from review r join business b on {CLEAN_SQL.format('r.business_id')} = {CLEAN_SQL.format('b.business_id')} group by city",
     "event_count": "select count(*) n_events from events",
     "events_by_month": "select year(ts) y, month(ts) m, count(*) n_events from events group by 1, 2",
+    "top10_customers": "select o_custkey, count(*) n_orders from orders group by 1 order by 2 desc, 1 limit 10",
+    "top10_parts": "select l_partkey, count(*) n_lines from lineitem group by 1 order by 2 desc, 1 limit 10",
     "top_event_types": "with c as (select event_type, count(*) n_events from events group by 1) select * from c where n_events = (select max(n_events) from c)",
     "order_baskets_over_6": "select l_orderkey, count(distinct l_partkey) n_parts from lineitem group by 1 having count(distinct l_partkey) > 6",
     "customer_day_baskets": "select o_custkey || '-' || strftime(o_orderdate, '%Y%m%d') basket, count(distinct l_partkey) n_parts from lineitem join orders on l_orderkey = o_orderkey group by 1 having count(distinct l_partkey) > 6",

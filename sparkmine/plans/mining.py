@@ -115,6 +115,13 @@ def cf_predictions(spark, sf_dir):
     return _cf(spark, sf_dir)[0].select("user", "item", F.round("prediction", 6).alias("prediction"))
 
 
+def item_mean_fallback(spark, sf_dir):
+    """Predictions without any neighbour: the item's mean, 0 for an item without ratings in the training part."""
+    train, test = _split(spark, sf_dir)
+    none = rec.item_similarity(train, LEAST_COMMON).where(F.lit(False))
+    return rec.predict_by_items(train, test, none).select("user", "item", F.round("prediction", 6).alias("prediction"))
+
+
 def cf_rmse(spark, sf_dir):
     r = rec.rmse(*_cf(spark, sf_dir))
     return r.select("n", F.round("rmse", 6).alias("rmse"))
@@ -156,7 +163,7 @@ def hybrid_rmse(spark, sf_dir):
     return rec.rmse(hybrid_predictions(spark, sf_dir), _split(spark, sf_dir)[1])
 
 
-QUERIES = {f.__name__: f for f in (frequent_itemsets_of_users, frequent_itemsets_of_items, two_pass_itemsets, fpgrowth_itemsets, all_frequent_itemsets, transaction_itemsets, minhash_signatures, lsh_verified_pairs, jaccard_pairs, item_pearson, item_pearson_signed, cf_predictions, cf_rmse, rating_features, tree_predictions, tree_rmse, hybrid_predictions, hybrid_rmse)}
+QUERIES = {f.__name__: f for f in (frequent_itemsets_of_users, frequent_itemsets_of_items, two_pass_itemsets, fpgrowth_itemsets, all_frequent_itemsets, transaction_itemsets, minhash_signatures, lsh_verified_pairs, jaccard_pairs, item_pearson, item_pearson_signed, cf_predictions, item_mean_fallback, cf_rmse, rating_features, tree_predictions, tree_rmse, hybrid_predictions, hybrid_rmse)}
 
 
 def _itemsets_sql(rows: str, percent: int, sizes: int) -> str:
@@ -201,6 +208,7 @@ select a business_id_1, b business_id_2, overlap, round(overlap / (n1.n + n2.n -
     "item_pearson": _SIGNED.format(LEAST_COMMON) + " select item_1, item_2, n_common, round(similarity, 6) similarity from s where similarity > 1e-12",
     "item_pearson_signed": _SIGNED.format(10) + " select item_1, item_2, n_common, round(similarity, 6) similarity from s",
     "cf_predictions": _CF + 'select u "user", i item, round(prediction, 6) prediction from p',
+    "item_mean_fallback": _CF + 'select t.u "user", t.i item, round(coalesce(e.e, 0.0), 6) prediction from t left join e on e.i = t.i',
     "cf_rmse": _CF + "select count(*) n, round(sqrt(avg((rating - prediction) ** 2)), 6) rmse from p",
     "rating_features": f"""with r as ({RATINGS_SQL}), b as (select {CLEAN_SQL.format('business_id')} i, stars, review_count from business),
 u as (select {CLEAN_SQL.format('user_id')} u, arg_max(struct_pack(c := review_count, s := average_stars), rec_no) r from yelp_user group by 1)

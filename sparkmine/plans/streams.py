@@ -21,6 +21,13 @@ def _stream(spark, sf_dir):
     return sk.stream(t, "rec_no", "user_id", BATCH)
 
 
+def simulated_stream(spark, sf_dir):
+    """Ten batches of a hundred records drawn from the user feed."""
+    t = table(spark, sf_dir, "yelp_user").select((F.col("rec_no") - 1).alias("at"), "user_id")
+    low = t.agg(F.min("at")).first()[0] or 0
+    return sk.simulated_stream(t.withColumn("at", F.col("at") - low), "user_id", 100, 10, seed=3, index="at")
+
+
 def bloom_rates(spark, sf_dir):
     b = sk.bloom_rates(_stream(spark, sf_dir), HASHES, seed=SEED)
     return b.select("batch", "false_positives", "true_negatives", F.round("fpr", 6).alias("fpr"))
@@ -75,7 +82,7 @@ def stream_reservoir(spark, sf_dir):
     return live.replay(live.reservoir(_live_users(spark, sf_dir), "user_id", "rec_no"), _name(), "update")
 
 
-QUERIES = {f.__name__: f for f in (bloom_rates, distinct_estimates, reservoir_slots, sketch_vs_exact, stream_daily_counts, stream_sessions, stream_distinct_estimates, stream_bloom_seen, stream_reservoir)}
+QUERIES = {f.__name__: f for f in (simulated_stream, bloom_rates, distinct_estimates, reservoir_slots, sketch_vs_exact, stream_daily_counts, stream_sessions, stream_distinct_estimates, stream_bloom_seen, stream_reservoir)}
 
 _S = f"s as (select rec_no seq, {CLEAN_SQL.format('user_id')} v, rec_no // {BATCH} batch from yelp_user where rec_no is not null and {CLEAN_SQL.format('user_id')} is not null)"
 _FM = f"""with {_S}, d as (select distinct batch, v from s), x as (select batch, {TEXT_NUMBER_SQL.format('v')} % {P} x from d),
@@ -84,6 +91,8 @@ o as (select batch, 2.0 ** r p, row_number() over (partition by batch order by r
 select batch, (select count(*) from d where d.batch = q.batch) n_distinct, estimate from (select batch, round(median(m))::bigint estimate from m group by batch) q"""
 _SLOTS = ", ".join(f"arg_max(v, t) filter (slot = {i}) over w slot_{i}" for i in (0, 20, 40, 60, 80))
 SQL = {
+    "simulated_stream": f"""with d as (select range seq, range // 100 batch, {TEXT_NUMBER_SQL.format("'3/' || range")} % (select count(*) from yelp_user) row_no from range(1000))
+select batch, seq, user_id "value" from d join (select user_id, rec_no - (select min(rec_no) from yelp_user) row_no from yelp_user) using (row_no)""",
     "bloom_rates": f"""with {_S}, f as (select v, min(seq) seq from s group by v), p as (select distinct seq, ((a * ({TEXT_NUMBER_SQL.format('v')} % {P}) + b) % {P}) % {sk.BITS} place from f, {coefficient_sql(coefficients(HASHES, SEED))}),
 b as (select place, min(seq) first from p group by place), t as (select p.seq, bool_and(b.first < p.seq) positive from p join b using (place) group by p.seq),
 c as (select s.batch, count(*) filter (positive) fp, count(*) filter (not positive) tn from s join t using (seq) group by 1)

@@ -6,6 +6,8 @@ import atexit
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +46,9 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored() -> None:
-    """Remove every table written by ``stored``; the frames read from them can't be used afterwards."""
-    while _written:
+def drop_stored(keep: int = 0) -> None:
+    """Remove the tables written by ``stored``, but for the first ``keep``; the frames read from them can't be used afterwards."""
+    while len(_written) > keep:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
@@ -56,6 +58,16 @@ def drop_stored() -> None:
             pass
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables stored within the block are removed at its end: for sessions that run many queries and write each result."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        drop_stored(before)
+
+
 def parts_for(spark: SparkSession, rows: int, rows_per_part: int, least: int | None = None) -> int:
     """Partitions that hold about rows_per_part rows each; at least ``least``, by default as many as the session is set to."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions")) if least is None else least

@@ -1,6 +1,7 @@
 """Ids, analytics, sources, balance."""
 
 import json
+import os
 import random
 
 import pytest
@@ -10,7 +11,7 @@ from sparkmine.functions.hashing import P, coefficients, linear_hashes, text_num
 from sparkmine.functions.ids import calendar_day, clean_id, whole_number_id
 from sparkmine.operators import analytics as a
 from sparkmine.operators.balance import fragment_replicate_join, key_statistics, pack, placed, plan_loads
-from sparkmine.runtime import col, stored
+from sparkmine.runtime import col, scratch, stored
 from sparkmine.sources import files
 
 
@@ -65,6 +66,14 @@ def test_stored_reads_back(spark):
     assert df.collect() == [(1, None, [1.5])]
 
 
+def test_scratch_tables_go(spark):
+    with scratch():
+        df = stored(spark.range(3))
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"review_id": "r1", "stars": 4.0, "date": "2018-01-01"}\nnot json\n{"user_id": "u"}\n')
     r = files.read_json_lines(spark, str(tmp_path / "r.json"), files.REVIEW).collect()

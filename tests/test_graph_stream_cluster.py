@@ -187,6 +187,17 @@ def test_reservoir_slots_equal_a_reservoir(spark):
     assert (few["slot_0"], few["slot_5"]) == (rows[0][1], None)
 
 
+def test_simulated_stream(spark):
+    df = spark.range(0, 37, 1, 5).withColumn("v", F.concat(F.lit("v"), "id"))
+    assert sorted(r["row_no"] for r in sk.dense_index(df).collect()) == list(range(37))
+    got = sk.simulated_stream(df, "v", 50, 8, seed=1).collect()
+    assert len(got) == 400 and {r["batch"] for r in got} == set(range(8)) and len({r["seq"] for r in got}) == 400
+    counts = [sum(r["value"] == f"v{i}" for r in got) for i in range(37)]
+    assert min(counts) > 0 and max(counts) < 30
+    assert sorted(map(str, got)) == sorted(map(str, sk.simulated_stream(df, "v", 50, 8, seed=1).collect()))
+    assert sk.simulated_stream(df.limit(0), "v", 50, 8).count() == 0
+
+
 def test_hash_count():
     assert sk.hash_count(100, 10) == 7 and sk.hash_count(10, 1000) == 1
 

@@ -69,10 +69,11 @@ def similar_sets(df: DataFrame, set_id: str, token: str, threshold: float = 0.5,
 
     # sets of equal content share a representative
     content = [F.count("*").cast("int").alias("size"), F.bit_xor("t").alias("c1"), F.bit_xor(F.xxhash64(F.col("t"), F.lit(1))).alias("c2")]
-    sets = base.groupBy("own").agg(*content).where(F.col("size") >= min_size)
-    sets = stored(sets.join(names, "own").select("own", "side", "name", "size", F.xxhash64("size", "c1", "c2").alias("set")))
-    reps = sets.groupBy("set").agg(F.min("own").alias("own"), F.min("side").alias("side_1"), F.max("side").alias("side_2"), F.first("size").alias("size"))
-    reps = reps.select("own", "set", "size", F.expr("shiftleft(1, side_2) | shiftleft(1, side_1)").alias("sides"))
+    sets = stored(base.groupBy("own").agg(*content).where(F.col("size") >= min_size).join(names, "own"))
+    alike = ["size", "c1", "c2"]  # two fingerprints of 64 bits
+    reps = sets.groupBy(*alike).agg(F.min("own").alias("set"), F.min("side").alias("side_1"), F.max("side").alias("side_2"))
+    sets = stored(sets.join(reps, alike).select("own", "side", "name", "size", "set"))
+    reps = reps.select(F.col("set").alias("own"), "set", "size", F.expr("shiftleft(1, side_2) | shiftleft(1, side_1)").alias("sides"))
     toks = _in_order(base, reps, threshold, direct)
     pairs = _verified(toks, stored(_candidates(toks, threshold, other is not None)), threshold, in_arrays)
     a, b = (sets.select(F.col("set").alias(k), F.col("name").alias(f"name_{k}"), F.col("side").alias(f"side_{k}"), F.col("size").alias(f"size_{k}")) for k in "ab")

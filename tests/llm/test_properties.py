@@ -1,0 +1,80 @@
+"""Any small input: the operators against brute force."""
+
+import numpy as np
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from sparkmine.llm.cooccurrence import item_pairs
+from sparkmine.llm.leakage import Automaton
+from sparkmine.llm.packing import pack_sizes
+from sparkmine.llm.readability import features, isotonic
+from sparkmine.llm.seen import BloomChain
+from sparkmine.llm.setjoin import similar_sets
+from sparkmine.llm.words import word_spans, words
+
+from .test_pairs_sets import brute_pairs, brute_sets
+
+few = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+many = settings(max_examples=150, deadline=None)
+ids = st.one_of(st.none(), st.integers(0, 6))
+
+
+@few
+@given(st.lists(st.tuples(ids, ids), max_size=60), st.integers(1, 3), st.sampled_from([None, 1, 1.5]), st.sampled_from([2, 512]))
+def test_pairs(spark, rows, min_count, min_lift, block):
+    got = item_pairs(spark.createDataFrame(rows, "b int, i int"), "b", "i", min_count, min_lift, block)
+    assert {tuple(r)[:6] for r in got.collect()} == brute_pairs(rows, min_count, min_lift)
+
+
+@few
+@given(st.lists(st.tuples(st.sampled_from("abcdefg"), st.sampled_from("0123456789xyz")), max_size=70), st.sampled_from([0.34, 0.5, 0.75, 1.0]), st.integers(1, 4))
+def test_sets(spark, rows, threshold, least):
+    got = similar_sets(spark.createDataFrame(rows, "s string, t string"), "s", "t", threshold, least)
+    assert {tuple(r)[:5] for r in got.collect()} == brute_sets(rows, threshold, least)
+
+
+@many
+@given(st.lists(st.integers(1, 50), min_size=1, max_size=80))
+def test_packing(sizes):
+    to, at = pack_sizes(np.array(sizes), 50, 1.0, 0.02)
+    for c in set(to):
+        own = sorted((at[i], sizes[i]) for i in range(len(sizes)) if to[i] == c)
+        assert [a for a, _ in own] == list(np.cumsum([0, *[n for _, n in own]])[:-1]) and sum(n for _, n in own) <= 50
+    assert len(set(to)) <= 2 * -(-sum(sizes) // 50) + 1
+
+
+@many
+@given(st.lists(st.sampled_from("abc"), max_size=40), st.lists(st.lists(st.sampled_from("abc"), max_size=10), max_size=4), st.integers(1, 4))
+def test_automaton(text, passages, run):
+    machine = Automaton([(" ".join(p), None, None) for p in passages], run, 99)
+    found = {i for i, _ in machine.hits(" ".join(text))} if not machine.empty else set()
+    runs = {tuple(text[j : j + run]) for j in range(len(text) - run + 1)}
+    assert found == {i for i, p in enumerate(passages) if any(tuple(p[j : j + run]) in runs for j in range(len(p) - run + 1))}
+
+
+@many
+@given(st.text(max_size=60))
+def test_any_text(text):
+    n, f = features(text)
+    assert n == len(words(text)) and (f is None or np.isfinite(f).all())
+    spans = word_spans(text)
+    assert spans is None or len(spans) == n and all(0 <= a < b <= len(text) for a, b in spans)
+
+
+@many
+@given(st.lists(st.tuples(st.floats(-5, 5), st.integers(1, 5)), min_size=1, max_size=30))
+def test_isotonic_rises(points):
+    x, y = (np.array(v, float) for v in zip(*points))
+    knots, values = isotonic(x, y)
+    assert (np.diff(values) >= -1e-12).all() and (np.diff(knots) >= 0).all() and y.min() <= values.min() and values.max() <= y.max()
+
+
+@many
+@given(st.lists(st.lists(st.integers(-(2**63), 2**63 - 1), max_size=60, unique=True), max_size=6))
+def test_chain_never_forgets(parts):
+    chain = BloomChain(0.01, first=8)
+    for p in parts:
+        keys = np.array(p, np.int64)
+        chain.add(keys[~chain.holds(keys)])
+        assert chain.holds(keys).all()
+    assert chain.bound() < 0.01

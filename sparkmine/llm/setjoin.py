@@ -75,7 +75,7 @@ def similar_sets(df: DataFrame, set_id: str, token: str, threshold: float = 0.5,
     sets = stored(sets.join(reps, alike).select("own", "side", "name", "size", "set"))
     reps = reps.select(F.col("set").alias("own"), "set", "size", F.expr("shiftleft(1, side_2) | shiftleft(1, side_1)").alias("sides"))
     toks = _in_order(base, reps, threshold, direct)
-    pairs = _verified(toks, stored(_candidates(toks, threshold, other is not None)), threshold, in_arrays)
+    pairs = _verified(toks, stored(_candidates(toks, threshold, direct, other is not None)), threshold, in_arrays)
     a, b = (sets.select(F.col("set").alias(k), F.col("name").alias(f"name_{k}"), F.col("side").alias(f"side_{k}"), F.col("size").alias(f"size_{k}")) for k in "ab")
     between = pairs.join(a, "a").join(b, "b")
     alike = a.join(b, F.col("a") == F.col("b")).select(F.col("size_a").alias("overlap"), "name_a", "side_a", "size_a", "name_b", "side_b", "size_b").where("side_a < side_b or (side_a = side_b and name_a < name_b)")
@@ -126,10 +126,10 @@ def _classed(df: DataFrame, threshold: float) -> DataFrame:
     return df.withColumn("class", F.explode(F.sequence(of(F.col("size")), of(most)))).withColumn("home", of(F.col("size")) == F.col("class"))
 
 
-def _candidates(toks: DataFrame, threshold: float, between: bool) -> DataFrame:
+def _candidates(toks: DataFrame, threshold: float, direct: int, between: bool) -> DataFrame:
     """a, b, size_a, size_b: representatives that share enough prefix tokens."""
     classed = _classed(toks.where("at <= 3"), threshold)
-    ks = _choose(classed, threshold)
+    ks = _choose(classed, threshold, direct)
     sigs = []
     single = [c for c, k in ks.items() if k == 1]
     if single:
@@ -155,11 +155,11 @@ def _candidates(toks: DataFrame, threshold: float, between: bool) -> DataFrame:
     return a.join(b, "sig").where(fit).select("a", "b", "size_a", "size_b").distinct()
 
 
-def _choose(classed: DataFrame, threshold: float) -> dict[int, int]:
+def _choose(classed: DataFrame, threshold: float, direct: int) -> dict[int, int]:
     """The k of each class, from counts over all its sets.
 
     Cost: signatures emitted, and candidates met at CANDIDATE_COST each; a further shared token is taken to leave an eighth
-    of them.
+    of them. Where a class has sets too large to be ranked, their prefixes are for one token.
     """
     met = classed.where("at <= 1").groupBy("class", "t").agg(F.count("*").cast("double").alias("f")).groupBy("class").agg(F.sum("f").alias("e1"), F.sum(F.col("f") * F.col("f")).alias("met"))
     lens = classed.groupBy("class", "set", "size").agg(*(F.count_if(F.col("at") <= k).cast("double").alias(f"n{k}") for k in (2, 3)))
@@ -168,7 +168,7 @@ def _choose(classed: DataFrame, threshold: float) -> dict[int, int]:
     more = lens.groupBy("class").agg(F.sum(two).alias("e2"), F.sum(three).alias("e3"), F.min(_needed(F.col("size"), threshold)).alias("least"))
     ks = {}
     for r in met.join(more, "class").collect():  # one row per class
-        most = min(3, r["least"]) if r["class"] < len(CLASSES) else 1
+        most = min(3, r["least"]) if r["class"] < len(CLASSES) and CLASSES[r["class"]] <= direct else 1
         ks[r["class"]] = min(range(1, most + 1), key=lambda k: r[f"e{k}"] + CANDIDATE_COST * (r["met"] - r["e1"]) / 2 / 8 ** (k - 1))
     return ks
 

@@ -24,7 +24,8 @@ from .words import WORD, normal
 
 WINDOW = 25
 TAG = re.compile(r"<[^>\n]{0,200}>")
-SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n\s*[-*•]|\n\n")
+#: Ends of sentences, list items and paragraphs; bounded, so that no text takes more than time in proportion to its length.
+SENTENCE = re.compile(r"[.!?](?=\s|$)|\n[ \t]{0,16}[-*•\n]")
 VOWELS = re.compile(r"[aeiouyáéíóúàèìòùäöüâêîôû]+")
 N_FEATURES = 26
 _known: dict[str, tuple[float, ...]] = {}

@@ -1,6 +1,7 @@
 """Packing, leaks and reading levels."""
 
 import random
+import time
 import unicodedata
 
 import numpy as np
@@ -73,6 +74,16 @@ def test_two_tokenizers_of_one_vocabulary_agree():
         assert a(t) == b(t)
 
 
+@pytest.mark.parametrize("text", [" " * 25_000, "a" + "\n" * 30_000 + "b", "x  " + " \t" * 20_000 + "word " + " " * 21_000 + "9", "é" + "\u3000" * 20_001 + "!"])
+def test_long_blanks_count_as_in_one_piece(text):
+    a, b = token_counter(TOKENIZERS + "byte_bpe_50k.tiktoken"), token_counter(TOKENIZERS + "byte_bpe_50k.json")
+    assert a(text) == b(text)
+
+
+def test_megabytes_of_blanks():
+    assert token_counter(TOKENIZERS + "byte_bpe_50k.tiktoken")(" " * 3_000_000 + "x" + "\n" * 2_000_000) > 0
+
+
 def test_documents_are_packed_well(spark, small):
     sizes = {r["item"]: r["n_tokens"] for r in token_sizes(table(spark, small, "documents"), "doc_id", "text", queries.VOCABULARY).collect()}
     got = queries.p8_packed(spark, small).withColumnRenamed("doc_id", "item")
@@ -152,6 +163,16 @@ def test_features_of_odd_texts():
     assert np.isfinite(features("<p></p>")[1] if features("<p></p>")[1] is not None else [0]).all()
 
 
+@pytest.mark.parametrize("filling", ["\n", ".", " ", "<", "-", "\n ", "!?", "&", "\t-", "é", "<p", "\u00ad"])
+def test_odd_long_texts_take_little_time(filling):
+    began = time.process_time()
+    text = "a b " + filling * 200_000 + " c d"
+    n, f = features(text)
+    assert n >= 3 and np.isfinite(f).all() and len(words(text)) == n
+    word_spans(text)
+    assert time.process_time() - began < 5
+
+
 def test_levels_by_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     x, y = _graded(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "doc_level"), "doc_id", "reading_level", 20_000)

@@ -70,7 +70,10 @@ def bloom_seen(stream: DataFrame, value: str, seq: str, bits: int = 69_997, hash
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         bloom = pickle.loads(state.get[0]) if state.exists else BloomState(bits, hashes)
-        whole = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        frames = [f for f in frames if len(f)]
+        if not frames:
+            return
+        whole = pd.concat(frames).sort_values("seq", kind="stable")
         whole["maybe_seen"] = [bloom.ask(int(n)) for n in whole["number"]]
         state.update((pickle.dumps(bloom),))
         yield whole[["seq", "value", "maybe_seen"]]

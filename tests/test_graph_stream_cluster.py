@@ -239,6 +239,13 @@ def test_live_sketches(spark, event_files):
     assert sorted(r["batch"] for r in est) == [0, 1, 2] and {r["n_distinct"] for r in est} == {3}
 
 
+def test_live_sketches_of_nothing(spark, event_files, tmp_path):
+    spark.read.parquet(event_files[0]).limit(0).coalesce(1).write.parquet(str(tmp_path / "none"))
+    s = live.parquet_stream(spark, str(tmp_path / "none"))
+    assert live.replay(live.bloom_seen(s, "k", "seq", bits=100), name()).count() == 0
+    assert live.replay(live.reservoir(s, "k", "seq"), name(), "update").count() == 0
+
+
 def points(seed=0, k=3, n=200, d=4):
     rng = np.random.default_rng(seed)
     centres = rng.normal(0, 30, (k, d))

@@ -63,7 +63,7 @@ class Automaton:
 PARTS = ("passage", "question", "answer")
 
 
-def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, question: str | None = None, answer: str | None = None, run: int = 12, whole: int = 5, block_chars: int = 16_000_000) -> DataFrame:
+def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, question: str | None = None, answer: str | None = None, run: int = 12, whole: int = 5, block_chars: int = 2_000_000) -> DataFrame:
     """Every document that contains part of a test item: doc_id, item_id, part, n_matches, longest_run (words), start, end.
 
     part is "passage" (``run`` consecutive words of it), "question" or "answer" (all of it, if it has ``whole`` words or more).
@@ -71,7 +71,8 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     normalisation can't be followed back. One row per input document, item and part: repeated documents or items are
     reported each. Null and empty texts match nothing; a passage shorter than run words can't be found. Empty tables
     give no rows. Other columns are ignored.
-    block_chars: characters of items in one automaton; more items are scanned for block by block.
+    block_chars: characters of items in one automaton (about 150 bytes each in every worker); more items are scanned for block
+    by block.
     """
     spark = docs.sparkSession
     given = items.select(col(item_id).alias("item"), *(col(c).cast("string").alias(p) if c else F.lit(None).cast("string").alias(p) for p, c in zip(PARTS, (passage, question, answer))))

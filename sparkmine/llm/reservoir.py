@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import stored
+
 #: Reservoirs merged by one task.
 FAN_IN = 64
 
@@ -101,7 +103,6 @@ def merge_states(states: DataFrame, k: int, seed: int = 0, fan_in: int = FAN_IN,
     level = 0
     while True:
         level += 1
-
         many = parts > fan_in
         to = F.expr(f"part div {fan_in}") if many else F.lit(0)
         states = states.withColumn("to", to).groupBy("to").applyInArrow(_merger(k, seed, level, fan_in if many else None), states.schema)
@@ -126,7 +127,8 @@ def fixed_sample(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     rows or fewer comes whole; an empty one gives no rows. The same partitions and seed give the same sample. A column
     named population in df is kept and the count then gets the name population_.
     """
-    states = merge_states(reservoir_states(df, k, seed), k, seed, parts=max(1, df.rdd.getNumPartitions()))
+    # at most k rows a partition are kept; the input is read once, whatever the number of merging rounds
+    states = merge_states(stored(reservoir_states(df, k, seed)), k, seed)
     count = "population"
     while count in {c.lower() for c in df.columns}:
         count += "_"

@@ -66,7 +66,8 @@ PARTS = ("passage", "question", "answer")
 def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, question: str | None = None, answer: str | None = None, run: int = 12, whole: int = 5, block_chars: int = 2_000_000) -> DataFrame:
     """Every document that contains part of a test item: doc_id, item_id, part, n_matches, longest_run (words), start, end.
 
-    part is "passage" (``run`` consecutive words of it), "question" or "answer" (all of it, if it has ``whole`` words or more).
+    part is "passage" (``run`` consecutive words of it), "question" or "answer" (all of it, if it has ``whole`` words or more;
+    with whole=1 none is left out by its length, and longest_run is the number of its words).
     start and end are the offsets of the first match in the original text, in characters; null in the rare texts whose
     normalisation can't be followed back. One row per input document, item and part: repeated documents or items are
     reported each. Null and empty texts match nothing; a passage shorter than run words can't be found. Empty tables

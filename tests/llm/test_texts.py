@@ -149,6 +149,19 @@ def test_found_leaks_equal_brute_force_on_the_tables(spark, small):
     assert {tuple(r) for r in queries.p9_found(spark, small).collect()} == brute_leaks(docs, items, 12)
 
 
+def test_short_questions_and_answers_leak(spark, tmp_path):
+    texts = {"short": "It cost $27.95, and the BARBER was\nnoisy.", "none": "The barber was not noisy: 27 and 95.", "one": "no", "empty": "", "null": None}
+    docs = [(i, t) for i, t in enumerate(texts.values())]
+    items = [(10, "p", "No?", "$27.95"), (11, None, "?!", "The barber was noisy."), (12, "p", None, "$27.95"), (13, "p", "", None), (14, "p", "cost 27 95 and the barber", "barber was noisy")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string, question string, answer string").write.parquet(f"{tmp_path}/eval_item.parquet")
+    holds = lambda t, p: bool(words(p or "")) and f" {' '.join(words(p))} " in f" {' '.join(words(t or ''))} "
+    want = {(d, i, part, len(words(p))) for d, t in docs for i, _, q, a in items for part, p in (("question", q), ("answer", a)) if holds(t, p)}
+    assert {(0, 10, "answer", 2), (0, 11, "answer", 4), (2, 10, "question", 1)} <= want
+    got = queries.p9_leaks(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["item_id"], r["part"], r["longest_run"]) for r in got} == want and len(got) == len(want)
+
+
 def test_isotonic():
     x, y = isotonic(np.array([1.0, 2, 3, 4]), np.array([1.0, 3, 2, 5]))
     assert x.tolist() == [1, 2.5, 4] and y.tolist() == [1, 2.5, 5]

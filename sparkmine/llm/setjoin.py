@@ -95,7 +95,7 @@ def similar_sets(df: DataFrame, set_id: str, token: str, threshold: float = 0.5,
 def _in_order(base: DataFrame, reps: DataFrame, threshold: float, direct: int) -> DataFrame:
     """set, size, sides, t, at: the tokens that sets may share, with the least k for which they are in their set's prefix.
 
-    Tokens are ordered by the number of sets that have them, then by t. Those of one set only can't be shared; they lead
+    Tokens are ordered by the number of sets that have them, then by t (signed), in sets of every size. Those of one set only can't be shared; they lead
     every prefix, so it is enough to count them.
     """
     often = base.groupBy("t").agg(F.count("*").cast("int").alias("df")).where("df > 1")
@@ -111,11 +111,13 @@ def _in_order(base: DataFrame, reps: DataFrame, threshold: float, direct: int) -
     toks = small.select(*columns, F.greatest(F.lit(1), F.col("row") - F.col("kept") + need).cast("int").alias("at"))
     if n_large:
         held = base.join(sent_if_few(large, n_large), "own").join(often, "t")
-        held = stored(held.select(*columns, F.shiftleft(F.least("df", F.lit(2**22)).cast("long"), 40).bitwiseOR(F.shiftrightunsigned("t", 24)).alias("key")))
+        # the order of the ranking above, (df, signed t), in one number: df and the upper half of t, its least value as 0
+        held = stored(held.select(*columns, (F.shiftleft(F.col("df").cast("long"), 32) + F.shiftright("t", 32) + F.lit(2**31)).alias("key")))
+        # percentile_approx reads doubles, so keys are compared as such: those that round to the cut are kept
         # tokens of one set only are left out here, which moves the cut to more of the frequent ones: too long, never too short
         share = min(1.0, 1 - threshold + 2 / direct + 2e-4)
         cut = held.groupBy("set").agg(F.percentile_approx("key", share, 10_000).alias("cut"))
-        toks = toks.unionByName(held.join(sent_if_few(cut, n_large), "set").select(*columns, F.when(F.col("key") <= F.col("cut"), 1).otherwise(2**30).alias("at")))
+        toks = toks.unionByName(held.join(sent_if_few(cut, n_large), "set").select(*columns, F.when(F.col("key").cast("double") <= F.col("cut").cast("double"), 1).otherwise(2**30).alias("at")))
     return stored(toks)
 
 

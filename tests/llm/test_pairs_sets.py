@@ -114,6 +114,14 @@ def test_sets_of_large_size_take_the_other_ways(spark):
     assert {tuple(r)[:5] for r in got.collect()} == brute_sets(rows, 0.5, 2)
 
 
+@pytest.mark.parametrize("common", [700, 900])
+def test_pairs_across_the_limit_of_ranked_sets(spark, common):
+    # all common tokens are in two sets, so only the order of their fingerprints decides which are in the prefixes
+    rows = [(f"{side}{p}", f"{p}:{x}") for p in range(12) for side, own in (("a", range(990 - common)), ("b", range(-1010 + common, 0))) for x in (*own, *range(1000, 1000 + common))]
+    got = similar_sets(spark.createDataFrame(rows, "s string, x string"), "s", "x", 0.5, direct=1000)
+    assert {tuple(r)[:5] for r in got.collect()} == {(f"a{p}", f"b{p}", 990, 1010, common) for p in range(12)}
+
+
 def test_sets_between_two_tables(spark):
     a, b = set_rows(3, 40), set_rows(4, 30) + [r for r in set_rows(3, 40) if r[0] in ("s5", "s9", "s12")]
     got = similar_sets(spark.createDataFrame(a, "s string, x string"), "s", "x", 0.5, 1, other=spark.createDataFrame(b, "s string, x string"))

@@ -31,11 +31,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("item_1").alias("business_id_1"), F.col("item_2").alias("business_id_2"))
 
 
-def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = item_pairs(_baskets(spark, sf_dir), "user_id", "business_id", min_count=10, min_lift=1)
+def _counted(pairs: DataFrame) -> DataFrame:
     return pairs.select("item_1", "item_2", "n_both", "n_1", "n_2", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
 
 
+def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only pairs in at least 10 baskets that are not rarer than chance."""
+    return _counted(item_pairs(_baskets(spark, sf_dir), "user_id", "business_id", min_count=10, min_lift=1))
+
+
+def p1_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair that occurs."""
+    return _counted(item_pairs(_baskets(spark, sf_dir), "user_id", "business_id"))
+
+
 def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "yelp_train")
     # header lines left among the data are no ratings
@@ -117,7 +126,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.where("n_words >= 40 and reading_level >= 4").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_pairs, p3_found, p3_distinct, p4_sample, p5_found, p5_seen, p5_wrong_rate, p6_found, p6_top, p8_packed, p9_found, p9_leaks, p10_found, p10_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_all_pairs, p2_found, p2_pairs, p3_found, p3_distinct, p4_sample, p5_found, p5_seen, p5_wrong_rate, p6_found, p6_top, p8_packed, p9_found, p9_leaks, p10_found, p10_levels)}
 
 _T = "nullif(trim({0}, ' \t\r\n'), '')"
 _WHOLE = "try_cast(nullif(regexp_extract(trim({0}, ' \t\r\n'), '^([+-]?[0-9]+)(\\.0*)?$', 1), '') as bigint)"
@@ -144,6 +153,7 @@ SQL = {
     "p1_found": _PAIRS + "select item_1 business_id_1, item_2 business_id_2 from q where n_both >= 20 and n_both * n_all >= 8 * n_1 * n_2",
     "p1_pairs": _PAIRS + """select item_1, item_2, n_both, n_1, n_2, round(n_both * n_all::double / n_1 / n_2, 6) lift, round(log2(n_both * n_all::double / n_1 / n_2), 6) pmi
 from q where n_both >= 10 and n_both * n_all >= n_1 * n_2""",
+    "p1_all_pairs": _PAIRS + "select item_1, item_2, n_both, n_1, n_2, round(n_both * n_all::double / n_1 / n_2, 6) lift, round(log2(n_both * n_all::double / n_1 / n_2), 6) pmi from q",
     "p2_found": _SETS + "select business_id_1, business_id_2 from q",
     "p2_pairs": _SETS + "select business_id_1, business_id_2, overlap, round(similarity, 6) similarity from q",
     "p3_found": _R + "select d review_day, b business_id from r where rid is not null and u is not null and b is not null and d is not null group by 1, 2 having count(distinct rid) >= 40 and count(distinct u) * 2 < count(distinct rid)",

@@ -5,7 +5,7 @@ from itertools import combinations
 
 import pytest
 
-from sparkmine.llm import setjoin
+from sparkmine.llm import queries, setjoin
 from sparkmine.llm.cooccurrence import item_pairs
 from sparkmine.llm.setjoin import similar_sets
 
@@ -57,6 +57,14 @@ def test_pairs_of_nothing_and_clashing_names(spark):
     assert item_pairs(df, "b.x", "i i").count() == 1
 
 
+def test_all_pairs_include_rare_ones_and_those_below_chance(spark, tmp_path):
+    rows = [(b, i) for b, i in basket_rows() if b is not None and i is not None]
+    spark.createDataFrame([(str(b), str(i)) for b, i in rows], "user_id string, business_id string").write.parquet(f"{tmp_path}/small2.parquet")
+    got = queries.p1_all_pairs(spark, str(tmp_path)).collect()
+    assert {tuple(r)[:5] for r in got} == {x[:5] for x in brute_pairs(rows, 1, None)}
+    assert min(r["n_both"] for r in got) == 1 and min(r["pmi"] for r in got) < 0
+
+
 def brute_sets(rows, t, least, other=None):
     def sets(rows):
         out = {}

@@ -55,16 +55,40 @@ def all_frequent_itemsets(spark, sf_dir):
     return _flat(its.frequent_itemsets(rows, _support(rows, USERS_PERCENT)))
 
 
-def transaction_itemsets(spark, sf_dir):
+def all_frequent_itemsets_of_items(spark, sf_dir):
+    rows = stored(user_baskets(spark, sf_dir).select(F.col("item").alias("basket"), F.col("basket").alias("item")))
+    return _flat(its.frequent_itemsets(rows, _support(rows, ITEMS_PERCENT)))
+
+
+def all_two_pass_itemsets(spark, sf_dir):
+    rows = stored(user_baskets(spark, sf_dir))
+    return _flat(its.two_pass_itemsets(rows, _support(rows, USERS_PERCENT)))
+
+
+def all_fpgrowth_itemsets(spark, sf_dir):
+    rows = stored(user_baskets(spark, sf_dir))
+    return _flat(its.fpgrowth_itemsets(rows, _support(rows, USERS_PERCENT)))
+
+
+def _transactions(spark, sf_dir) -> DataFrame:
     """Brands bought by a customer on a day, in baskets of more than 3 brands."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyyMMdd").alias("day"))
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     p = table(spark, sf_dir, "part").select("p_partkey", F.regexp_extract("p_brand", "([0-9]+)", 1).alias("brand"))
     t = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
-    rows = stored(its.larger_baskets(its.baskets(transactions(t, "o_custkey", "day", "brand"), "basket", "item"), 3))
+    return stored(its.larger_baskets(its.baskets(transactions(t, "o_custkey", "day", "brand"), "basket", "item"), 3))
+
+
+def transaction_itemsets(spark, sf_dir):
+    rows = _transactions(spark, sf_dir)
     return _flat(its.frequent_itemsets(rows, _support(rows, DAYS_PERCENT), 2))
 
 
+def all_transaction_itemsets(spark, sf_dir):
+    rows = _transactions(spark, sf_dir)
+    return _flat(its.frequent_itemsets(rows, _support(rows, DAYS_PERCENT)))
+
+
 def minhash_signatures(spark, sf_dir):
     s = sim.signatures(business_users(spark, sf_dir))
     return s.select(F.col("id").alias("business_id"), F.array_join(F.transform("signature", lambda h: h.cast("string")), ",").alias("signature"))
@@ -163,7 +187,7 @@ def hybrid_rmse(spark, sf_dir):
     return rec.rmse(hybrid_predictions(spark, sf_dir), _split(spark, sf_dir)[1])
 
 
-QUERIES = {f.__name__: f for f in (frequent_itemsets_of_users, frequent_itemsets_of_items, two_pass_itemsets, fpgrowth_itemsets, all_frequent_itemsets, transaction_itemsets, minhash_signatures, lsh_verified_pairs, jaccard_pairs, item_pearson, item_pearson_signed, cf_predictions, item_mean_fallback, cf_rmse, rating_features, tree_predictions, tree_rmse, hybrid_predictions, hybrid_rmse)}
+QUERIES = {f.__name__: f for f in (frequent_itemsets_of_users, frequent_itemsets_of_items, two_pass_itemsets, fpgrowth_itemsets, all_frequent_itemsets, all_frequent_itemsets_of_items, all_two_pass_itemsets, all_fpgrowth_itemsets, transaction_itemsets, all_transaction_itemsets, minhash_signatures, lsh_verified_pairs, jaccard_pairs, item_pearson, item_pearson_signed, cf_predictions, item_mean_fallback, cf_rmse, rating_features, tree_predictions, tree_rmse, hybrid_predictions, hybrid_rmse)}
 
 
 def _itemsets_sql(rows: str, percent: int, sizes: int) -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sparkmine.operators import itemsets as its
 from sparkmine.operators import recommend as rec
 from sparkmine.operators import similarity as sim
+from sparkmine.plans import mining
 
 
 def brute_itemsets(rows, support):
@@ -57,6 +58,13 @@ def test_support_equal_to_a_count_in_one_part(spark):
     assert as_set(its.two_pass_itemsets(b, 2, parts=1)) == {(("x",), 2)}
 
 
+def test_registered_itemsets_of_every_size(spark, small):
+    rows = lambda name: sorted(map(tuple, mining.QUERIES[name](spark, small).collect()))
+    want = rows("all_frequent_itemsets")
+    assert max(r[0] for r in want) > 3
+    assert rows("all_two_pass_itemsets") == want and rows("all_fpgrowth_itemsets") == want
+
+
 def test_no_baskets(spark):
     b = its.baskets(spark.createDataFrame([], "b int, i string"), "b", "i")
     assert its.frequent_itemsets(b, 1).count() == 0 and its.two_pass_itemsets(b, 1).count() == 0

@@ -19,7 +19,8 @@ def whole_number_id(c: Column) -> Column:
     """The whole number an id stands for (``07``, ``7.0`` and ``7`` are 7); null where it is no whole number that fits a long."""
     t = F.btrim(c.cast("string"), F.lit(AROUND))
     whole = F.regexp_extract(t, r"^([+-]?[0-9]+)(?:\.0*)?$", 1)
-    return F.when(whole != "", whole.try_cast("bigint"))
+    # most ids are plain digits, for which no pattern is needed
+    return F.when((t != "") & (F.translate(t, "0123456789", "") == ""), t.try_cast("bigint")).when(whole != "", whole.try_cast("bigint"))
 
 
 def calendar_day(c: Column) -> Column:

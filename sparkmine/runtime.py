@@ -20,30 +20,53 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def in_one_process(master: str) -> bool:
+    """Whether this master runs everything in the driver's process, so that its own disk is the shared one."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or an own one where it is unset (tests, local mode)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or the session's checkpoint folder where one was set.
+
+    Only a local master may do without either and gets a temporary folder; on a cluster that folder would be a different
+    one on each machine, so a missing setting is an error there.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not in_one_process(sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sparkmine-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Cut the lineage: write df as a table into the shared folder and read it back.
-
-    A written table survives the loss of executors, is columnar (later reads prune and push down) and is
-    removed when the session's Python ends.
-    """
-    spark = df.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """A place of its own in the shared folder, removed when the session's Python ends or by ``drop_stored``."""
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(drop_stored)
     _written.append((spark, path))
+    return path
+
+
+def stored(df: DataFrame, *partition_by: str, path: str | None = None) -> DataFrame:
+    """Cut the lineage: write df as a table into the shared folder (at ``path``, if given) and read it back.
+
+    The job runs at once. A written table survives the loss of executors, is columnar (later reads prune and push down)
+    and is removed when the session's Python ends.
+    """
+    path = path or new_path(df.sparkSession)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system named, as programs other than Spark read it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    name = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + name.removeprefix("file:") if name.startswith("file:/") and not name.startswith("file://") else name
 
 
 def drop_stored(keep: int = 0) -> None:

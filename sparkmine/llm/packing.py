@@ -4,8 +4,9 @@ Texts are measured in tokens of a public tokenizer; the cost of an item of n tok
 (attention within each text). Items, in descending size, go to the container of the lowest cost that still has room;
 where none has, a container is opened. Only a text above the capacity is split, into full pieces and a rest.
 
-Items are packed in groups of about ``group_items``, chosen by a hash, so the work is spread and each task holds one
-group's sizes (never texts). A group fills hundreds of containers or more, so what its last ones leave unused is little.
+Items are packed in groups of about ``group_items``, chosen by a hash of a row's own number (not of its id, which many rows
+may share), so the work is spread and each task holds one group's sizes (never texts). A group fills hundreds of containers
+or more, so what its last ones leave unused is little.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ def token_counter(vocabulary: str):
             with open(vocabulary, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _encoders[vocabulary] = lambda text: _count(enc, text)
+            whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})  # any text as one piece
+            _encoders[vocabulary] = lambda text: _count(enc, whole, text)
         elif vocabulary.endswith(".json"):
             from tokenizers import Tokenizer
 
@@ -52,13 +54,13 @@ def token_counter(vocabulary: str):
     return _encoders[vocabulary]
 
 
-def _count(enc, text: str) -> int:
+def _count(enc, whole, text: str) -> int:
     """Tokens of a text. The library's pattern overflows its stack on very long runs of white space; such a run is one piece
     of its own, but for a last character that goes on with what follows, and is encoded as that."""
     n = at = 0
     for run in LONG_BLANK.finditer(text) if len(text) > LONG else ():
         end = run.end() if run.end() == len(text) else run.end() - 1
-        n += len(enc.encode_ordinary(text[at : run.start()])) + len(enc._encode_single_piece(text[run.start() : end]))
+        n += len(enc.encode_ordinary(text[at : run.start()])) + len(whole.encode_ordinary(text[run.start() : end]))
         at = end
     return n + len(enc.encode_ordinary(text[at:] if at else text))
 
@@ -79,15 +81,16 @@ def token_sizes(df: DataFrame, item: str, text: str, vocabulary: str) -> DataFra
 def pack_sizes(sizes: np.ndarray, capacity: int, linear: float, quadratic: float) -> tuple[np.ndarray, np.ndarray]:
     """Container and place (tokens before it) of each size; sizes are 1 to capacity."""
     order = np.argsort(-sizes, kind="stable")
-    n = max(1, math.ceil(int(sizes.sum()) / capacity))
-    cost, room = np.zeros(n), np.full(n, capacity, np.int64)
+    n = max(1, math.ceil(int(sizes.sum()) / capacity))  # containers there at least must be
+    cost, room = np.zeros(2 * n + 1), np.full(2 * n + 1, capacity, np.int64)  # two neighbours opened in need hold more than one full
     to, at = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
     for i in order:
         s = sizes[i]
-        c = int(np.where(room >= s, cost, np.inf).argmin())
+        c = int(np.where(room[:n] >= s, cost[:n], np.inf).argmin())
         if room[c] < s:
-            c = len(room)
-            cost, room = np.append(cost, 0.0), np.append(room, capacity)
+            if n == len(room):
+                cost, room = np.append(cost, np.zeros(n)), np.append(room, np.full(n, capacity, np.int64))
+            c, n = n, n + 1
         to[i], at[i] = c, capacity - room[c]
         room[c] -= s
         cost[c] += linear * s + quadratic * s * s
@@ -105,7 +108,7 @@ def packed(sized: DataFrame, item: str, size: str, capacity: int = 2048, linear:
     pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / capacity).cast("int") - 1, F.lit(0)))
     rows = rows.select("item", "n", F.explode(pieces).alias("piece"))
     rows = rows.select("item", "piece", (F.col("piece").cast("long") * capacity).alias("piece_start"), F.greatest(F.lit(0), F.least(F.lit(capacity), F.col("n") - F.col("piece").cast("long") * capacity)).cast("int").alias("piece_size"))
-    rows = stored(rows)
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
     n = rows.where(F.col("piece_size").between(1, capacity - 1)).count()
     groups = max(1, math.ceil(n / group_items))
     kind = rows.schema["item"].dataType.simpleString()
@@ -113,12 +116,12 @@ def packed(sized: DataFrame, item: str, size: str, capacity: int = 2048, linear:
 
     def pack(t: pa.Table) -> pa.Table:
         group = t.column("group")[0].as_py()
-        order = np.array(sorted(range(len(t)), key=lambda i, a=t.column("item").to_pylist(), b=t.column("piece").to_pylist(): (a[i] is not None, a[i] if a[i] is not None else 0, b[i])), np.int64)
+        order = np.array(sorted(range(len(t)), key=lambda i, a=t.column("item").to_pylist(), b=t.column("piece").to_pylist(), c=t.column("row").to_pylist(): (a[i] is not None, a[i] if a[i] is not None else 0, b[i], c[i])), np.int64)
         t = t.take(pa.array(order))
         to, at = pack_sizes(t.column("piece_size").to_numpy().astype(np.int64), capacity, linear, quadratic)
         return pa.table({**{c: t.column(c).combine_chunks() for c in ("item", "piece", "piece_start", "piece_size")}, "container": pa.array((group * 2**32 + to) * 2), "place": pa.array(at.astype(np.int32))})
 
-    open_ = rows.where(F.col("piece_size").between(1, capacity - 1)).withColumn("group", F.pmod(F.xxhash64("item", "piece"), F.lit(groups)))
+    open_ = rows.where(F.col("piece_size").between(1, capacity - 1)).withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
     placed = open_.groupBy("group").applyInArrow(pack, schema)
     # a full piece fills a container by itself: no need to look for one
     full = rows.where(F.col("piece_size") == capacity).select("item", "piece", "piece_start", "piece_size", (F.monotonically_increasing_id() * 2 + 1).alias("container"), F.lit(0).alias("place"))

@@ -2,16 +2,19 @@
 
 The tokens of every set are ordered from rare to frequent. Two sets whose overlap is at least o share their first k
 common tokens within their prefixes of length ``size - o + k``, for every k <= o. So with k > 1 the prefixes get
-longer, but a candidate must share k tokens at once; sets are joined on combinations of k prefix tokens, and k is
-chosen for each size class from the costs measured on all data. Candidates are then verified exactly.
+longer, but a candidate must share k tokens at once; sets are joined on combinations of k prefix tokens. k is chosen for
+each size class, sets of any size included: the signatures of every k are counted, and where they are few enough for that
+k to win, the candidates they make are counted as well, over all sets (``_choose``). Candidates are then verified exactly.
 
 Tokens are carried as 64-bit fingerprints. A set of n tokens is misjudged with a chance of at most n * n / 2**65, and
 only if two of its own tokens collide; sets themselves keep their names.
 
-Scale: sets with equal content are joined once and expanded at the end, so a mass of copies costs nothing in the
-join. Prefixes of sets up to ``direct`` tokens come from a ranking per set; those of larger sets from a mergeable
-quantile sketch (an over-long prefix loses nothing), so no task ever holds a giant set. Pairs of large sets are
-verified by a distributed count, not by arrays.
+Scale: sets with equal content make a class and are joined once, by a representative; ``similar_classes`` gives the classes
+and the links between them, so a mass of copies costs one row each, and ``similar_sets`` writes out the pairs. Prefixes of
+sets up to ``direct`` tokens come from a ranking per set; those of larger sets from a mergeable quantile sketch (an
+over-long prefix loses nothing), so no task ever holds a giant set. Pairs of large sets are verified by a distributed
+count, not by arrays. Signatures and classes that very many sets share are cut into hash blocks, whose pairs are the units of
+the join.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ from pyspark.sql import functions as F
 from ..runtime import FEW, col, sent_if_few, stored
 
 #: Largest set sizes of the size classes; the last class is open.
-#: Sets above the last are always joined on single prefix tokens.
-CLASSES = (8, 32, 128)
+CLASSES = (8, 32, 128, 512, 2048, 8192)
+#: Sets that share a signature, or copies in a class, in one block of the join.
+BLOCK = 2048
 #: What a candidate costs to deduplicate and verify, in signatures (measured).
 CANDIDATE_COST = 5
 
@@ -54,12 +58,54 @@ def similar_sets(df: DataFrame, set_id: str, token: str, threshold: float = 0.5,
     """All pairs of sets with |A and B| / |A or B| >= threshold and at least min_size distinct tokens each.
 
     df holds one row per (set, token). Returns id_1, id_2, size_1, size_2, overlap, similarity. Within one table id_1 <
-    id_2 in byte order; with ``other`` (same column names) id_1 is of df and id_2 of other.
+    id_2 in byte order; with ``other`` (same column names) id_1 is of df and id_2 of other. c copies of a set are
+    c * (c - 1) / 2 pairs here; where that is too much, take ``similar_classes``.
 
     Rows with a null set or token do not count, repeated rows count once, similarity equal to the threshold is
     kept, sets without tokens appear in no pair, empty tables give no rows, other columns are ignored.
     direct: largest set ranked in one task. in_arrays: largest set compared as an array.
     """
+    sets, pairs = _similar(df, set_id, token, threshold, min_size, other, direct, in_arrays)
+    a, b = (sets.select(F.col("set").alias(k), F.col("name").alias(f"name_{k}"), F.col("side").alias(f"side_{k}"), F.col("size").alias(f"size_{k}")) for k in "ab")
+    columns = ["overlap", "name_a", "side_a", "size_a", "name_b", "side_b", "size_b"]
+    both = pairs.join(a, "a").join(b, "b").select(*columns)
+    copies = sets.groupBy(F.col("set").alias("key")).agg(F.count("*").alias("f")).where("f > 1")
+    x, y = _blocked(sets.select(F.col("set").alias("key"), "own", "name", "side", "size"), copies, "own")
+    alike = x.join(y, ["key", "lo", "hi"]).where("block_a != block_b or lo = hi").where("side_a < side_b or (side_a = side_b and name_a < name_b)")
+    both = both.unionByName(alike.withColumn("overlap", F.col("size_a").cast("long")).select(*columns))
+    if other is not None:
+        both = both.where("side_a != side_b")
+        first = F.col("side_a") == 0
+    else:
+        first = F.col("name_a") < F.col("name_b")
+    pick = lambda what, i: F.when(first, F.col(f"{what}_{'ab'[i]}")).otherwise(F.col(f"{what}_{'ba'[i]}"))
+    return both.select(
+        pick("name", 0).alias("id_1"), pick("name", 1).alias("id_2"), pick("size", 0).alias("size_1"), pick("size", 1).alias("size_2"), "overlap",
+        (F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))).alias("similarity"),
+    )
+
+
+def similar_classes(df: DataFrame, set_id: str, token: str, threshold: float = 0.5, min_size: int = 1, direct: int = 100_000, in_arrays: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """The same result without writing out copies: members and links.
+
+    Members: id, size, class_id (the least id of the sets equal to this one, itself included), class_size, n_links (the similar
+    sets of this one, its copies included); one row for each set of at least min_size tokens. Links: class_1 < class_2, overlap,
+    similarity; one row for each pair of similar classes. Rows in and odd cases as in ``similar_sets``.
+    """
+    sets, pairs = _similar(df, set_id, token, threshold, min_size, None, direct, in_arrays)
+    classes = stored(sets.groupBy("set").agg(F.min("name").alias("class_id"), F.count("*").alias("class_size"), F.max("size").alias("size")))
+    a, b = (classes.select(F.col("set").alias(k), F.col("class_id").alias(f"class_{k}"), F.col("class_size").alias(f"n_{k}"), F.col("size").alias(f"size_{k}")) for k in "ab")
+    linked = stored(pairs.join(a, "a").join(b, "b"))
+    ends = linked.select(F.col("a").alias("set"), F.col("n_b").alias("n")).unionByName(linked.select(F.col("b").alias("set"), F.col("n_a").alias("n")))
+    classes = classes.join(ends.groupBy("set").agg(F.sum("n").alias("near")), "set", "left")
+    of = classes.select("set", "class_id", "class_size", (F.col("class_size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    members = sets.select("set", F.col("name").alias("id"), "size").join(of, "set").select("id", "size", "class_id", "class_size", "n_links")
+    links = linked.select(F.least("class_a", "class_b").alias("class_1"), F.greatest("class_a", "class_b").alias("class_2"), "overlap", (F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))).alias("similarity"))
+    return members, links
+
+
+def _similar(df: DataFrame, set_id: str, token: str, threshold: float, min_size: int, other: DataFrame | None, direct: int, in_arrays: int) -> tuple[DataFrame, DataFrame]:
+    """The sets (own, side, name, size, set: their representative) and the similar pairs of representatives (a, b, overlap)."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     rows = _rows(df, set_id, token, 0)
@@ -75,21 +121,30 @@ def similar_sets(df: DataFrame, set_id: str, token: str, threshold: float = 0.5,
     sets = stored(sets.join(reps, alike).select("own", "side", "name", "size", "set"))
     reps = reps.select(F.col("set").alias("own"), "set", "size", F.expr("shiftleft(1, side_2) | shiftleft(1, side_1)").alias("sides"))
     toks = _in_order(base, reps, threshold, direct)
-    pairs = _verified(toks, stored(_candidates(toks, threshold, direct, other is not None)), threshold, in_arrays)
-    a, b = (sets.select(F.col("set").alias(k), F.col("name").alias(f"name_{k}"), F.col("side").alias(f"side_{k}"), F.col("size").alias(f"size_{k}")) for k in "ab")
-    between = pairs.join(a, "a").join(b, "b")
-    alike = a.join(b, F.col("a") == F.col("b")).select(F.col("size_a").alias("overlap"), "name_a", "side_a", "size_a", "name_b", "side_b", "size_b").where("side_a < side_b or (side_a = side_b and name_a < name_b)")
-    both = between.select(*alike.columns).unionByName(alike)
-    if other is not None:
-        both = both.where("side_a != side_b")
-        first = F.col("side_a") == 0
+    return sets, _verified(toks, stored(_candidates(toks, threshold, other is not None)), threshold, in_arrays)
+
+
+def _blocked(df: DataFrame, counts: DataFrame | None, by: str) -> tuple[DataFrame, DataFrame]:
+    """df(key, ...) for a join with itself on key, where a key may be very frequent: two frames to be joined on (key, lo, hi),
+    other columns and block with the suffixes _a and _b. counts: key, f of the keys that may have more than BLOCK rows.
+
+    The rows of a key with more than BLOCK rows are dealt into hash blocks; a row meets those of each other block once,
+    under the numbers of the two (lo < hi), and those of its own (lo = hi), so each pair of rows meets just once, where
+    ``block_a != block_b or lo = hi`` holds.
+    """
+    n = 0
+    if counts is not None:
+        large = stored(counts.where(F.col("f") > BLOCK).select("key", F.ceil(F.col("f") / BLOCK).cast("int").alias("blocks")))
+        n = large.count()
+    if n:
+        df = df.join(sent_if_few(large, n), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        df = df.withColumn("block", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int"))
+        df = df.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with")).drop("blocks", "with")
     else:
-        first = F.col("name_a") < F.col("name_b")
-    pick = lambda what, i: F.when(first, F.col(f"{what}_{'ab'[i]}")).otherwise(F.col(f"{what}_{'ba'[i]}"))
-    return both.select(
-        pick("name", 0).alias("id_1"), pick("name", 1).alias("id_2"), pick("size", 0).alias("size_1"), pick("size", 1).alias("size_2"), "overlap",
-        (F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))).alias("similarity"),
-    )
+        df = df.withColumns({"block": F.lit(0), "lo": F.lit(0), "hi": F.lit(0)})
+    mine = [c for c in df.columns if c not in ("key", "lo", "hi")]
+    a, b = (df.select("key", "lo", "hi", *(F.col(c).alias(f"{c}_{x}") for c in mine)) for x in "ab")
+    return a, b
 
 
 def _in_order(base: DataFrame, reps: DataFrame, threshold: float, direct: int) -> DataFrame:
@@ -115,7 +170,7 @@ def _in_order(base: DataFrame, reps: DataFrame, threshold: float, direct: int) -
         held = stored(held.select(*columns, (F.shiftleft(F.col("df").cast("long"), 32) + F.shiftright("t", 32) + F.lit(2**31)).alias("key")))
         # percentile_approx reads doubles, so keys are compared as such: those that round to the cut are kept
         # tokens of one set only are left out here, which moves the cut to more of the frequent ones: too long, never too short
-        share = min(1.0, 1 - threshold + 2 / direct + 2e-4)
+        share = min(1.0, 1 - threshold + 4 / direct + 2e-4)  # long enough for three tokens
         cut = held.groupBy("set").agg(F.percentile_approx("key", share, 10_000).alias("cut"))
         toks = toks.unionByName(held.join(sent_if_few(cut, n_large), "set").select(*columns, F.when(F.col("key").cast("double") <= F.col("cut").cast("double"), 1).otherwise(2**30).alias("at")))
     return stored(toks)
@@ -128,51 +183,66 @@ def _classed(df: DataFrame, threshold: float) -> DataFrame:
     return df.withColumn("class", F.explode(F.sequence(of(F.col("size")), of(most)))).withColumn("home", of(F.col("size")) == F.col("class"))
 
 
-def _candidates(toks: DataFrame, threshold: float, direct: int, between: bool) -> DataFrame:
+def _signatures(classed: DataFrame, classes: list[int], k: int) -> DataFrame:
+    """class, home, set, size, sides, key: the combinations of k prefix tokens of the sets of these classes."""
+    carried = ["class", "home", "set", "size", "sides"]
+    here = classed.where(F.col("class").isin(classes) & (F.col("at") <= k))
+    if k == 1:
+        return here.select(*carried, F.xxhash64("class", "t").alias("key"))
+    here = here.groupBy(*carried).agg(F.sort_array(F.collect_list("t")).alias("ts")).select("*", F.posexplode("ts").alias("p1", "t1"))
+    for j in range(2, k + 1):
+        rest = here.withColumn("rest", F.expr(f"slice(ts, p{j - 1} + 2, size(ts))")).select("*", F.posexplode("rest").alias("q", f"t{j}"))
+        here = rest.withColumn(f"p{j}", F.col(f"p{j - 1}") + F.col("q") + 1).drop("rest", "q")
+    return here.select(*carried, F.xxhash64("class", *(f"t{j}" for j in range(1, k + 1))).alias("key"))
+
+
+def _candidates(toks: DataFrame, threshold: float, between: bool) -> DataFrame:
     """a, b, size_a, size_b: representatives that share enough prefix tokens."""
     classed = _classed(toks.where("at <= 3"), threshold)
-    ks = _choose(classed, threshold, direct)
-    sigs = []
-    single = [c for c, k in ks.items() if k == 1]
-    if single:
-        sigs.append(classed.where(F.col("class").isin(single) & (F.col("at") <= 1)).select("class", "home", "set", "size", "sides", F.xxhash64("class", "t").alias("sig")))
-    for k in (2, 3):
-        if chosen := [c for c, x in ks.items() if x == k]:
-            held = classed.where(F.col("class").isin(chosen) & (F.col("at") <= k)).groupBy("class", "home", "set", "size", "sides").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-            here = held.select("*", F.posexplode("ts").alias("p1", "t1"))
-            for j in range(2, k + 1):
-                rest = here.withColumn("rest", F.expr(f"slice(ts, p{j - 1} + 2, size(ts))")).select("*", F.posexplode("rest").alias("q", f"t{j}"))
-                here = rest.withColumn(f"p{j}", F.col(f"p{j - 1}") + F.col("q") + 1).drop("rest", "q")
-            sigs.append(here.select("class", "home", "set", "size", "sides", F.xxhash64("class", *(f"t{j}" for j in range(1, k + 1))).alias("sig")))
-    if not sigs:
+    ks, frequent = _choose(classed, threshold)
+    if not ks:
         return toks.sparkSession.createDataFrame([], "a long, b long, size_a int, size_b int")
-    sig = sigs[0]
-    for s in sigs[1:]:
-        sig = sig.unionByName(s)
-    a, b = (sig.select("sig", F.col("set").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "sides", "home"))) for x in "ab")
+    sigs = None
+    for k in sorted(set(ks.values())):
+        part = _signatures(classed, [c for c, x in ks.items() if x == k], k)
+        sigs = part if sigs is None else sigs.unionByName(part)
+    a, b = _blocked(sigs, sigs.groupBy("key").agg(F.count("*").alias("f")) if frequent > BLOCK else None, "set")
     # a pair belongs to the class of its larger set; sizes must be compatible
-    fit = (F.col("a") < F.col("b")) & (F.col("home_a") | F.col("home_b")) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(threshold) - F.lit(1e-9))
+    fit = (F.col("set_a") < F.col("set_b")) & (F.col("home_a") | F.col("home_b")) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(threshold) - F.lit(1e-9))
     if between:
         fit = fit & (F.col("sides_a").bitwiseOR(F.col("sides_b")) == 3)
-    return a.join(b, "sig").where(fit).select("a", "b", "size_a", "size_b").distinct()
+    met = a.join(b, ["key", "lo", "hi"]).where(fit & F.expr("block_a != block_b or lo = hi"))
+    return met.select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), "size_a", "size_b").distinct()
 
 
-def _choose(classed: DataFrame, threshold: float, direct: int) -> dict[int, int]:
-    """The k of each class, from counts over all its sets.
+def _met(sigs: DataFrame) -> dict[int, tuple[float, int]]:
+    """For each class the pairs of sets that share a signature, counted once for each they share, and the most sets that share one."""
+    f = F.col("f").cast("double")
+    by = sigs.groupBy("class", "key").agg(F.count("*").alias("f")).groupBy("class").agg(F.sum(f * (f - 1) / 2).alias("met"), F.max("f").alias("most"))
+    return {r["class"]: (r["met"], r["most"]) for r in by.collect()}  # one row per class
 
-    Cost: signatures emitted, and candidates met at CANDIDATE_COST each; a further shared token is taken to leave an eighth
-    of them. Where a class has sets too large to be ranked, their prefixes are for one token.
+
+def _choose(classed: DataFrame, threshold: float) -> tuple[dict[int, int], int]:
+    """The k of each class, and the most sets that share a signature then. k is that of the least cost, which is the signatures emitted, and the candidates met at CANDIDATE_COST
+    each. Both are counted over all sets of the class. The candidates of a larger k are counted only where its signatures alone
+    don't cost more already than the best k so far.
     """
-    met = classed.where("at <= 1").groupBy("class", "t").agg(F.count("*").cast("double").alias("f")).groupBy("class").agg(F.sum("f").alias("e1"), F.sum(F.col("f") * F.col("f")).alias("met"))
-    lens = classed.groupBy("class", "set", "size").agg(*(F.count_if(F.col("at") <= k).cast("double").alias(f"n{k}") for k in (2, 3)))
+    lens = classed.groupBy("class", "set", "size").agg(*(F.count_if(F.col("at") <= k).cast("double").alias(f"n{k}") for k in (1, 2, 3)))
     two = F.col("n2") * (F.col("n2") - 1) / 2
     three = F.col("n3") * (F.col("n3") - 1) * (F.col("n3") - 2) / 6
-    more = lens.groupBy("class").agg(F.sum(two).alias("e2"), F.sum(three).alias("e3"), F.min(_needed(F.col("size"), threshold)).alias("least"))
-    ks = {}
-    for r in met.join(more, "class").collect():  # one row per class
-        most = min(3, r["least"]) if r["class"] < len(CLASSES) and CLASSES[r["class"]] <= direct else 1
-        ks[r["class"]] = min(range(1, most + 1), key=lambda k: r[f"e{k}"] + CANDIDATE_COST * (r["met"] - r["e1"]) / 2 / 8 ** (k - 1))
-    return ks
+    emitted = lens.groupBy("class").agg(F.sum("n1").alias("e1"), F.sum(two).alias("e2"), F.sum(three).alias("e3"), F.min(_needed(F.col("size"), threshold)).alias("least"))
+    rows = {r["class"]: r for r in emitted.collect()}  # one row per class
+    if not rows:
+        return {}, 0
+    met = _met(_signatures(classed, list(rows), 1))
+    best = {c: (r["e1"] + CANDIDATE_COST * met.get(c, (0.0, 0))[0], 1, met.get(c, (0.0, 0))[1]) for c, r in rows.items()}
+    for k in (2, 3):
+        worth = [c for c, r in rows.items() if r["least"] >= k and r[f"e{k}"] < best[c][0]]
+        met = _met(_signatures(classed, worth, k)) if worth else {}
+        for c in worth:
+            pairs, most = met.get(c, (0.0, 0))
+            best[c] = min(best[c], (rows[c][f"e{k}"] + CANDIDATE_COST * pairs, k, most))
+    return {c: k for c, (_, k, _) in best.items()}, max(most for _, _, most in best.values())
 
 
 def _verified(toks: DataFrame, cand: DataFrame, threshold: float, in_arrays: int) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 
 from sparkmine.llm import queries, setjoin
 from sparkmine.llm.cooccurrence import item_pairs
-from sparkmine.llm.setjoin import similar_sets
+from sparkmine.llm.setjoin import similar_classes, similar_sets
 
 
 def brute_pairs(rows, min_count, min_lift):
@@ -107,13 +107,58 @@ def test_similar_sets_equal_brute_force(spark, t, least):
     assert {tuple(r)[:5] for r in got.collect()} == brute_sets(rows, t, least)
 
 
-@pytest.mark.parametrize("forced", [1, 2, 3])
-def test_every_prefix_length_finds_all(spark, monkeypatch, forced):
+@pytest.mark.parametrize("forced, block", [(1, 2048), (2, 2048), (3, 2048), (1, 2), (2, 2)])
+def test_every_prefix_length_finds_all(spark, monkeypatch, forced, block):
     choose = setjoin._choose
-    monkeypatch.setattr(setjoin, "_choose", lambda *a: dict.fromkeys(choose(*a), forced))
+    monkeypatch.setattr(setjoin, "_choose", lambda *a: (dict.fromkeys(choose(*a)[0], forced), 10**6))
+    monkeypatch.setattr(setjoin, "BLOCK", block)
     rows = [r for r in set_rows(5) if r[0] is not None]
     got = similar_sets(spark.createDataFrame(rows, "s string, x string"), "s", "x", 0.6, 5)
-    assert {tuple(r)[:5] for r in got.collect()} == brute_sets(rows, 0.6, 5)
+    assert {tuple(r)[:5] for r in got.collect()} == brute_sets(rows, 0.6, 5) and got.count() == got.distinct().count()
+
+
+def test_several_tokens_are_shared_by_large_sets_too(spark, monkeypatch):
+    # sets of 200 of 4000 tokens: every token is in some 30 sets, so one in common says little
+    rng, chosen = random.Random(6), []
+    sets = [rng.sample(range(4000), 200) for _ in range(600)]
+    sets += [[*s[:197], *rng.sample(range(4000, 4010), 2)] for s in sets[:20]]
+    choose = setjoin._choose
+    monkeypatch.setattr(setjoin, "_choose", lambda *a: chosen.append(choose(*a)) or chosen[-1])
+    rows = [(f"s{i}", f"t{x}") for i, s in enumerate(sets) for x in s]
+    got = similar_sets(spark.createDataFrame(rows, "s string, x string"), "s", "x", 0.95)
+    assert {tuple(r)[:5] for r in got.collect()} == brute_sets(rows, 0.95, 1)
+    assert max(chosen[0][0].values()) > 1 and max(c for c, k in chosen[0][0].items() if k > 1) >= 3
+
+
+@pytest.mark.parametrize("t, least", [(0.5, 1), (0.8, 2)])
+def test_classes_and_links_equal_the_pairs(spark, t, least):
+    rows = set_rows(3) + [(f"copy{i}", f"z{j}") for i in range(5) for j in range(4)]
+    members, links = similar_classes(spark.createDataFrame(rows, "s string, x string"), "s", "x", t, least)
+    of = {r["id"]: r for r in members.collect()}
+    pairs = brute_sets(rows, t, least)
+    assert {i: r["n_links"] for i, r in of.items()} == {i: sum(i in p[:2] for p in pairs) for i in of}
+    sets = {}
+    for s, x in rows:
+        if s is not None and x is not None:
+            sets.setdefault(s, set()).add(x)
+    assert {i: r["class_id"] for i, r in of.items()} == {i: min(j for j in sets if sets[j] == sets[i]) for i in sets if len(sets[i]) >= least}
+    assert {(r["class_1"], r["class_2"], r["overlap"]) for r in links.collect()} == {(a, b, n) for a, b, _, _, n in pairs if of[a]["class_id"] == a and of[b]["class_id"] == b and sets[a] != sets[b]}
+
+
+def test_a_mass_of_copies_costs_one_row_each(spark):
+    n = 20_000
+    df = spark.range(n * 3).selectExpr("concat('c', id div 3) s", "concat('t', id % 3) x").unionByName(spark.sql("select 'other' s, concat('t', id) x from range(4)"))
+    members, links = similar_classes(df, "s", "x", 0.5)
+    assert members.count() == n + 1 and [tuple(r)[:3] for r in links.collect()] == [("c0", "other", 3)]
+    assert {(r["class_id"], r["class_size"], r["n_links"]) for r in members.collect()} == {("c0", n, n), ("other", 1, n)}
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_copies_in_blocks_meet_once(spark, monkeypatch, block):
+    monkeypatch.setattr(setjoin, "BLOCK", block)
+    rows = [(f"c{i}", x) for i in range(20) for x in "pqr"]
+    got = similar_sets(spark.createDataFrame(rows, "s string, x string"), "s", "x", 0.5)
+    assert got.count() == 190 == got.distinct().count()
 
 
 def test_sets_of_large_size_take_the_other_ways(spark):

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkmine.llm import queries
+from sparkmine.llm import leakage, queries
 from sparkmine.llm.leakage import leaked_items
 from sparkmine.llm.packing import fill, pack_sizes, packed, token_counter, token_sizes
 from sparkmine.llm.readability import _graded, features, fit, is_english, isotonic, reading_levels
@@ -51,6 +51,15 @@ def test_packing(spark, group_items):
     assert packed(df.limit(0), "id", "n").count() == 0
 
 
+def test_repeated_ids_are_packed_in_parallel(spark):
+    df = spark.range(60_000).selectExpr("cast(null as long) i", "1 + id % 90 n")
+    began = time.time()
+    got = packed(df, "i", "n", 100).where("container is not null")
+    assert got.count() == 60_000 and time.time() - began < 30
+    assert got.select(F.expr("container div 2 div 4294967296").alias("g")).distinct().count() == 8
+    assert got.groupBy("container").agg(F.sum("piece_size").alias("s")).agg(F.max("s")).first()[0] <= 100
+
+
 def test_containers_are_balanced_in_cost():
     sizes = np.array([50] * 10 + [10] * 50)
     to, at = pack_sizes(sizes, 100, 1.0, 0.01)
@@ -109,8 +118,8 @@ def brute_leaks(docs, items, run):
     return out
 
 
-@pytest.mark.parametrize("block_chars", [10**7, 200])
-def test_leaks_equal_brute_force(spark, block_chars):
+@pytest.mark.parametrize("block_chars, held_chars", [(10**7, 0), (200, 10**7), (200, 1)])
+def test_leaks_equal_brute_force(spark, block_chars, held_chars):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(12)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(2, 30)))) for i in range(25)] + [(25, None), (26, ""), (27, "one two")]
@@ -126,8 +135,12 @@ def test_leaks_equal_brute_force(spark, block_chars):
     docs += [(60, None), (61, ""), (62, "x " * 50_000 + items[0][1]), (0, docs[0][1])]
     a = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item_id int")
     b = spark.createDataFrame([(*i, "q", None) for i in items], "item_id long, text string, question string, answer string")
-    got = leaked_items(a, "doc_id", "text", b, "item_id", "text", "question", "answer", run=5, block_chars=block_chars)
-    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == brute_leaks(docs, items, 5)
+    got = leaked_items(a, "doc_id", "text", b, "item_id", "text", "question", "answer", run=5, block_chars=block_chars, held_chars=held_chars)
+    long = [r for r in got.collect() if r["part"] == "passage" and r["longest_run"] >= 5]
+    assert {(r["doc_id"], r["item_id"]) for r in long} == brute_leaks(docs, items, 5)
+    assert got._jdf.queryExecution().toString().count("MapInArrow") == 4  # one scan of the texts in each of its four plans
+    short = [i for i in items if 0 < len(words(i[1] or "")) < 5]
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect() if r["part"] == "passage" and r["longest_run"] < 5} == {(d, i) for i, p in short for d, _ in brute_leaks(docs, [(i, p)], len(words(p)))}
     assert leaked_items(a.limit(0), "doc_id", "text", b, "item_id", "text").count() == 0
     assert leaked_items(a, "doc_id", "text", b.limit(0), "item_id", "text").count() == 0
 
@@ -137,12 +150,27 @@ def test_leaks_of_parts_and_offsets(spark):
     docs = spark.createDataFrame([(1, text)], "d long, t string")
     items = spark.createDataFrame([(7, "zero one two three four five b six", "Is the red door open now?", "maybe it is"), (8, None, None, "Yes maybe it is so")], "i long, p string, q string, a string")
     got = {(r["item_id"], r["part"]): r for r in leaked_items(docs, "d", "t", items, "i", "p", "q", "a", run=4).collect()}
-    assert set(got) == {(7, "passage"), (7, "question"), (8, "answer")}
+    assert set(got) == {(7, "passage"), (7, "question"), (7, "answer"), (8, "answer")}
+    assert got[7, "answer"]["longest_run"] == 3 and all(r["supported"] for r in got.values())
     cut = lambda r: text[r["start"] : r["end"]]
     assert cut(got[7, "passage"]) == "One two three FOUR five</b> six" and got[7, "passage"]["longest_run"] == 7
     assert cut(got[7, "question"]) == "is the red door open now" and cut(got[8, "answer"]) == "Yes ­ maybe it is so"
 
 
+def test_a_short_passage_leaks_as_a_whole(spark):
+    docs = spark.createDataFrame([(1, "They said: The Quick brown fox, jumps over lazy dogs!"), (2, "the quick brown fox jumps over"), (3, "yes")], "d long, t string")
+    items = spark.createDataFrame([(1, "the quick brown fox jumps over lazy dogs", "what jumps over?", "yes")], "i long, p string, q string, a string")
+    got = {(r["d"] if "d" in r else r["doc_id"], r["part"]): (r["longest_run"], r["supported"]) for r in leaked_items(docs, "d", "t", items, "i", "p", "q", "a").collect()}
+    assert got == {(1, "passage"): (8, False), (3, "answer"): (1, False)}
+
+
+def test_words_of_one_number_do_not_match(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "numbered", lambda ws: [len(w) for w in ws])
+    docs = spark.createDataFrame([(1, "aa bb cc dd"), (2, "xx bb cc dd")], "d long, t string")
+    machine = leakage.Automaton([("aa bb cc", None, None)], 3)
+    assert [set(machine.hits(words(t), tuple(leakage.numbered(words(t))))) for _, t in docs.collect()] == [{(0, 0)}, set()]
+
+
 def test_found_leaks_equal_brute_force_on_the_tables(spark, small):
     docs = [tuple(r) for r in table(spark, small, "documents").select("doc_id", "text").collect()]
     items = [tuple(r) for r in table(spark, small, "eval_item").select("item_id", "text").collect()]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkmine.llm import leakage, queries
 from sparkmine.llm.leakage import leaked_items
 from sparkmine.llm.packing import fill, pack_sizes, packed, token_counter, token_sizes
-from sparkmine.llm.readability import _graded, features, fit, is_english, isotonic, reading_levels
+from sparkmine.llm.readability import N_FEATURES, _graded, features, fit, is_english, isotonic, measured, reading_levels, word_class
 from sparkmine.llm.words import word_spans, words
 from sparkmine.sources.tables import table
 
@@ -216,7 +216,7 @@ def test_odd_long_texts_take_little_time(filling):
 
 def test_levels_by_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
-    x, y = _graded(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "doc_level"), "doc_id", "reading_level", 20_000)
+    x, y = _graded(measured(table(spark, d, "documents"), "doc_id", "text"), table(spark, d, "doc_level"), "doc_id", "reading_level", 20_000)
     fold = np.random.default_rng(0).permutation(len(y)) % 4
     close, right = [], []
     for k in range(4):
@@ -228,16 +228,35 @@ def test_levels_by_held_out_accuracy(spark):
 
 
 def test_levels_of_odd_rows(spark, small):
-    docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "The cat sat on the mat. " * 5, "x"), (3, "again", None), (None, "a b c", "x")], "doc_id long, text string, score string")
+    docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "The cat sat on the mat. " * 5, "x"), (3, "again", None), (None, "a b c", "x")], "doc_id long, text string, score string").withColumn("f", F.lit(1))
     none = spark.createDataFrame([], "id long, level int")
     got = reading_levels(docs, "doc_id", "text", none, "id", "level").collect()
     assert len(got) == 5 and all(r["reading_level"] is None for r in got)
-    x, y = _graded(table(spark, small, "documents"), "doc_id", "text", table(spark, small, "doc_level"), "doc_id", "reading_level", 1000)
-    got = {(r["doc_id"], r["n_words"]): r for r in reading_levels(docs, "doc_id", "text", none, "id", "level", keep=("score",), model=fit(x, y)).collect()}
+    x, y = _graded(measured(table(spark, small, "documents"), "doc_id", "text"), table(spark, small, "doc_level"), "doc_id", "reading_level", 1000)
+    got = {(r["doc_id"], r["n_words"]): r for r in reading_levels(docs, "doc_id", "text", none, "id", "level", keep=("score", "f"), model=fit(x, y)).collect()}
     assert got[3, 30]["reading_level"] in (1, 2) and got[1, 0]["reading_level"] is None
     assert reading_levels(docs.limit(0), "doc_id", "text", none, "id", "level").count() == 0
 
 
+def test_rows_for_the_fit_are_bounded_by_the_labels(spark):
+    docs = spark.range(3000).selectExpr("id % 2 d", "concat('some words here number ', id) t")
+    labels = spark.createDataFrame([(0, 1), (1, 5), (1, 4)], "d long, l int")
+    x, y = _graded(measured(docs, "d", "t"), labels, "d", "l", 100)
+    assert len(x) == len(y) == 2 and sorted(y) == [1, 4.5]
+    assert len(_graded(measured(docs, "d", "t"), labels, "d", "l", 1)[1]) == 1
+
+
+def test_word_classes():
+    of = {w: word_class(w) for w in "whereas which and between the their were information quickly walking political table cat".split()}
+    assert list(of.values()) == ["subordinator", "relative", "coordinator", "preposition", "determiner", "pronoun", "auxiliary", "nominal", "adverb", "participle", "adjective", "adjective", "other"]
+
+
+def test_variety_is_measured_over_the_whole_text():
+    # words of one vector, so that only their variety differs, after the first 200
+    a, b = (features("aaax " * 200 + " ".join(second))[1] for second in (["aaax"] * 200, [f"aa{c}{d}" for c in "bcdfghjklm" for d in "bcfghjkmnpqrtvwxzppp"]))
+    assert np.flatnonzero(~np.isclose(a, b)).tolist() == [N_FEATURES - 9] and b[-9] > 0.5 > a[-9]
+
+
 def test_is_english(spark):
     rows = [(x,) for x in ("en", "EN", " en-US", "en_GB", "English", "eng", "es", "", None, "enx", "fr-en")]
     got = [r[0] for r in spark.createDataFrame(rows, "l string").select(is_english(F.col("l"))).collect()]

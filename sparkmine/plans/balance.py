@@ -19,14 +19,21 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIELDS = [("business_id", "user_id"), ("user_id", "business_id")]
 
 
+def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per key, with the stars that the business and user files give it replicated to the shards of its reviews."""
+    b = table(spark, sf_dir, "business").select(clean_id(F.col("business_id")).alias("id"), "stars")
+    u = table(spark, sf_dir, "yelp_user").select(clean_id(F.col("user_id")).alias("id"), "average_stars")
+    sides = {"business_id": (b, "id", "stars"), "user_id": (u, "id", "average_stars")}
+    return key_statistics(reviews(spark, sf_dir), FIELDS, "review_id", "stars", version="loaded_at", sides=sides)
+
+
 def key_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = key_statistics(reviews(spark, sf_dir), FIELDS, "review_id", "stars", version="loaded_at")
-    return s.select("field_name", "key_value", F.col("n_records").alias("n_reviews"), F.round("mean_value", 6).alias("mean_stars"), "n_counterparts")
+    s = _statistics(spark, sf_dir)
+    return s.select("field_name", "key_value", F.col("n_records").alias("n_reviews"), F.round("mean_value", 6).alias("mean_stars"), "n_counterparts", F.col("listed_value").alias("listed_stars"))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = key_statistics(reviews(spark, sf_dir), FIELDS, "review_id", "stars", version="loaded_at")
-    return s.where("n_records * 100 >= n_total * 2").select("field_name", "key_value")
+    return _statistics(spark, sf_dir).where("n_records * 100 >= n_total * 2").select("field_name", "key_value")
 
 
 def listed_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +54,8 @@ s as (select field_name, key_value, count(*) n_reviews, round(avg(stars), 6) mea
 """
 SQL = {
     "p7_found": _REVIEWS + "select field_name, key_value from s where n_reviews * 100 >= 2 * (select count(*) from d)",
-    "p7_key_stats": _REVIEWS + "select * from s",
+    "p7_key_stats": _REVIEWS + f""", l as (select 'business_id' field_name, {_CLEAN.format('business_id')} key_value, max(stars) listed_stars from business group by 1, 2
+union all select 'user_id', {_CLEAN.format('user_id')}, max(average_stars) from yelp_user group by 1, 2) select s.*, listed_stars from s left join l using (field_name, key_value)""",
     "p7_listed_stars": f"""select {_CLEAN.format('b.business_id')} business_id, city, b.stars listed_stars, count(*) n_deliveries, round(avg(r.stars), 6) mean_stars from review r join business b
 on {_CLEAN.format('r.business_id')} = {_CLEAN.format('b.business_id')} group by 1, 2, 3""",
 }

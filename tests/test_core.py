@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkmine.functions.hashing import P, coefficients, linear_hashes, text_number
 from sparkmine.functions.ids import calendar_day, clean_id, whole_number_id
 from sparkmine.operators import analytics as a
+from sparkmine.operators import balance
 from sparkmine.operators.balance import fragment_replicate_join, key_statistics, pack, placed, plan_loads
 from sparkmine.runtime import col, scratch, stored
 from sparkmine.sources import files
@@ -151,6 +152,39 @@ def test_load_is_balanced(spark):
     assert sum(sizes) == 10_000 and len(sizes) == 8 and max(sizes) < 1.35 * 10_000 / 8
 
 
+def test_join_is_balanced_and_replicates_only_to_split_keys(spark):
+    big = spark.range(20_000).selectExpr("case when id % 2 = 0 then 'hot' else concat('k', id % 700) end k", "id v")
+    side = spark.range(700).selectExpr("concat('k', id) k", "id w").unionByName(spark.sql("select 'hot' k, -1L w"))
+    j = fragment_replicate_join(big, side, "k", tasks=8)
+    sizes = [r[1] for r in j.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) == 8 and max(sizes) < 1.35 * 20_000 / 8
+    plan = plan_loads(big.selectExpr("'' field", "k key"), 8)
+    copies = placed(big.limit(0).selectExpr("'' field", "k key", "v"), plan, F.col("v"), side.selectExpr("'' field", "k key", "w")).groupBy("key").count().where("count > 1").collect()
+    assert [(r["key"], r["count"]) for r in copies] == [("hot", len(plan.split["", "hot"]))]
+    assert "SortMergeJoin" not in j._jdf.queryExecution().executedPlan().toString()
+
+
+def test_load_is_what_is_placed(spark):
+    # one key with very many records but one counterpart is one row to place, and isn't split
+    df = spark.range(5000).selectExpr("concat('r', id) r", "'once' u", "case when id < 4000 then 'hot' else concat('b', id) end b", "1.0 s")
+    plans = []
+    original = balance.plan_loads
+    balance.plan_loads = lambda *a: plans.append(original(*a)) or plans[-1]
+    try:
+        got = {r["key_value"]: r for r in key_statistics(df, [("b", "u")], "r", "s", tasks=4).collect()}
+    finally:
+        balance.plan_loads = original
+    assert not plans[0].split and got["hot"]["n_records"] == 4000 and got["hot"]["n_counterparts"] == 1
+
+
+def test_sides_reach_every_key(spark):
+    df = spark.range(3000).selectExpr("concat('r', id) r", "concat('u', id) u", "case when id % 2 = 0 then 'hot' else concat('b', id % 9) end b", "1.0 s")
+    side = spark.createDataFrame([("hot", 3.0), ("hot", 4.0), ("b1", None), ("b3", 2.0), ("none", 1.0), (None, 5.0)], "`i.d` string, listed double")
+    got = {r["key_value"]: r for r in key_statistics(df, [("b", "u")], "r", "s", tasks=4, sides={"b": (side, "i.d", "listed")}).collect()}
+    assert got["hot"]["listed_value"] == 4 and got["b3"]["listed_value"] == 2 and got["b1"]["listed_value"] is None and "none" not in got
+    assert sum(r["n_records"] for r in got.values()) == 3000 and got["hot"]["n_counterparts"] == 1500
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_fragment_replicate_join(spark, how):
     big = [("hot" if i % 2 else f"k{i % 17}", i, "x") for i in range(400)] + [(None, -1, "x")]

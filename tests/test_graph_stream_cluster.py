@@ -74,16 +74,26 @@ def test_components(spark, seed):
     assert {r["id"]: r["component"] for r in g.components(frame(spark, e)).collect()} == brute_components(e)
 
 
+def test_components_of_a_long_path_and_a_hub(spark):
+    ids = list(range(400))
+    random.Random(2).shuffle(ids)
+    e = [*zip(ids, ids[1:]), *((1000, 1000 + i) for i in range(1, 500))]
+    got = {r["id"]: r["component"] for r in g.components(frame(spark, e)).collect()}
+    assert got == {i: 0 for i in ids} | {1000 + i: 1000 for i in range(500)}
+    with pytest.raises(RuntimeError):
+        g.components(frame(spark, e), max_rounds=1)
+
+
 def test_components_of_odd_edges(spark):
     assert g.components(frame(spark, [])).count() == 0
     e = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (None, 4), (2, 2)], "src long, dst long")
     assert {tuple(r) for r in g.components(e).collect()} == {(1, 1), (2, 1)}
 
 
-@pytest.mark.parametrize("held", [10**6, 0])
-def test_betweenness(spark, held):
-    e = edge_list(3)
-    got = {(r["src"], r["dst"]): r["betweenness"] for r in g.edge_betweenness(frame(spark, e), held_edges=held).collect()}
+@pytest.mark.parametrize("held, rows", [(10**6, None), (0, None), (0, 500)])
+def test_betweenness(spark, held, rows):
+    e = edge_list(3, 14, 18)
+    got = {(r["src"], r["dst"]): r["betweenness"] for r in g.edge_betweenness(frame(spark, e), held_edges=held, rows_at_once=rows).collect()}
     want = brute_betweenness(e)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-5 for k in want)
 

@@ -240,15 +240,44 @@ def test_live_sketches(spark, event_files):
     s = live.parquet_stream(spark, path)
     seen = {r["seq"]: r["maybe_seen"] for r in live.replay(live.bloom_seen(s, "k", "seq", bits=10_000), name()).collect()}
     assert seen == {i: i >= 3 for i in range(120)}
-    kept = live.replay(live.reservoir(s, "k", "seq", size=4, shards=2), name(), "update").collect()
+    updates = live.replay(live.reservoir(s, "seq", "seq", size=4, shards=2), name(), "update")
     last = {}
-    for r in kept:
+    for r in updates.collect():
         last[r["shard"]] = max(last.get(r["shard"], 0), r["seen"])
-    assert sum(last.values()) == 120 and all(r["slot"] < 4 for r in kept)
+    assert sum(last.values()) == 120 and all(r["slot"] < 4 for r in updates.collect())
+    one = live.merged_reservoir(updates, 4).collect()
+    held = {r["value"] for r in live.last_reservoirs(updates).collect()}
+    assert len(held) == 8 and len({r["value"] for r in one}) == 4 and {r["value"] for r in one} <= held and {r["seen"] for r in one} == {120}
+    split = live.batch_estimates(s.withColumn("b", F.floor(F.col("seq") / 60)), "seq", "b", name()).collect()  # batches over the ends of files
+    assert sorted((r["batch"], r["n_distinct"]) for r in split) == [(0, 60), (1, 60)]
     est = live.batch_estimates(s.withColumn("b", F.floor(F.col("seq") / 40)), "k", "b", name()).collect()
     assert sorted(r["batch"] for r in est) == [0, 1, 2] and {r["n_distinct"] for r in est} == {3}
 
 
+def test_bloom_state_equals_a_filter_asked_one_by_one():
+    rng, bits = random.Random(3), 200
+    state, filled = live.BloomState(bits, 3), set()
+    for _ in range(5):
+        numbers = [rng.randrange(2**60) if rng.random() < 0.5 else rng.randrange(20) for _ in range(40)]
+        want = []
+        for n in numbers:
+            at = {(a * (n % P) + b) % P % bits for a, b in coefficients(3, 17)}
+            want.append(at <= filled)
+            filled |= at
+        assert state.ask(np.array(numbers)).tolist() == want
+
+
+def test_reservoir_state_is_uniform():
+    got = np.zeros(60)
+    for seed in range(3000):
+        r = live.ReservoirState(6, seed)
+        for a, b in ((0, 4), (4, 25), (25, 60)):
+            r.take(np.arange(a, b))
+        assert r.seen == 60 and len(set(r.slots)) == 6
+        got[r.slots] += 1
+    assert ((got - 300) ** 2 / 270).sum() < 60 + 4 * 120**0.5
+
+
 def test_live_sketches_of_nothing(spark, event_files, tmp_path):
     spark.read.parquet(event_files[0]).limit(0).coalesce(1).write.parquet(str(tmp_path / "none"))
     s = live.parquet_stream(spark, str(tmp_path / "none"))

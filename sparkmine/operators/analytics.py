@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,41 @@ def partition_profile(df: DataFrame, n: int | None = None, *keys: str) -> DataFr
     return df.select(F.spark_partition_id().alias("partition_id")).groupBy("partition_id").agg(F.count("*").alias("n_items"))
 
 
+def placed_profile(df: DataFrame, n: int, partition: Column) -> DataFrame:
+    """Rows in each of n partitions when the expression says which one a row goes to (taken modulo n): partition_id, n_items."""
+    return partition_profile(df.repartitionById(n, partition.cast("int")))
+
+
+def timed(df: DataFrame) -> float:
+    """Seconds that a frame takes, its whole result computed and thrown away."""
+    began = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - began
+
+
+def partition_study(df: DataFrame, key: str, n: int, k: int = 10) -> DataFrame:
+    """How the same top-k count does over the partitions as they are and after hash partitioning by key into n: kind (default,
+    custom), n_partition, n_items (rows of each partition in order), n_total, exe_time (seconds). Runs at once."""
+    rows = []
+    for kind, d in (("default", df), ("custom", df.repartition(n, col(key)))):
+        profile = sorted((r["partition_id"], r["n_items"]) for r in partition_profile(d).collect())  # one row a partition
+        items = [m for _, m in profile]
+        rows.append((kind, len(items), items, sum(items), timed(top_k(d, key, k))))
+    return df.sparkSession.createDataFrame(rows, "kind string, n_partition int, n_items array<long>, n_total long, exe_time double")
+
+
+def sort_study(means: DataFrame, value: str, name: str, k: int = 10) -> DataFrame:
+    """The first k rows by value (largest first, then by name) found two ways: ordered by one limit over all partitions, and
+    ordered whole before the limit: kind (limit, whole), top (names), exe_time (seconds). Runs at once."""
+    rows = []
+    by = [F.desc(value), col(name)]
+    for kind, d in (("limit", means.orderBy(*by).limit(k)), ("whole", means.repartitionByRange(*by).sortWithinPartitions(*by).limit(k))):
+        began = time.perf_counter()
+        top = [r[0] for r in d.select(col(name)).collect()]  # k rows
+        rows.append((kind, top, time.perf_counter() - began))
+    return means.sparkSession.createDataFrame(rows, "kind string, top array<string>, exe_time double")
+
+
 def report(df: DataFrame, users: str, items: str, when: Column, k: int = 10) -> DataFrame:
     """One row with the counts of a review table: n_review, n_review_in, n_user, top_user, n_item, top_item.
 

@@ -64,13 +64,15 @@ def features(pairs: DataFrame, items: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def fit_trees(train: DataFrame, inputs: Sequence[str] = FEATURES, label: str = "rating", **params):
-    """A pipeline of feature assembly (nulls kept out) and gradient-boosted regression trees, fitted."""
+    """A pipeline of filling missing features by the median, assembling them, and gradient-boosted regression trees, fitted."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import Imputer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    options = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.3, "seed": 1} | params
-    return Pipeline(stages=[VectorAssembler(inputCols=list(inputs), outputCol="features", handleInvalid="skip"), GBTRegressor(labelCol=label, **options)]).fit(train)
+    options = {"maxIter": 20, "maxDepth": 3, "stepSize": 0.1, "seed": 1} | params
+    filled = [f"{c}_filled" for c in inputs]
+    fill = Imputer(strategy="median", inputCols=list(inputs), outputCols=filled)
+    return Pipeline(stages=[fill, VectorAssembler(inputCols=filled, outputCol="features"), GBTRegressor(labelCol=label, **options)]).fit(train)
 
 
 def predict_by_features(model, rows: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import TEXT_NUMBER_SQL, text_number
 from ..functions.ids import calendar_day, clean_id
 from ..operators import analytics as a
 from ..sources.tables import table
@@ -98,14 +99,27 @@ def customer_day_baskets(spark, sf_dir):
 
 
 def partition_profile(spark, sf_dir):
-    return a.partition_profile(table(spark, sf_dir, "review"))
+    """Reviews over all partitions of the scan, each counted in one."""
+    return a.partition_profile(table(spark, sf_dir, "review")).agg(F.sum("n_items").alias("n_items"), (F.count_distinct("partition_id") == F.count("*")).alias("each_once"))
 
 
 def hash_partition_profile(spark, sf_dir):
-    return a.partition_profile(table(spark, sf_dir, "review"), 16, "business_id")
+    """Reviews in 16 partitions by a hash of the business that any engine can compute."""
+    r = _reviews(spark, sf_dir)
+    return a.placed_profile(r, 16, F.coalesce(text_number(F.col("business_id")), F.lit(0)) % 16)
 
 
-QUERIES = {f.__name__: f for f in (avg_price_by_nation, review_count, reviews_in_2018, distinct_users, distinct_businesses, top10_users, top10_businesses, review_report, city_stars, event_count, events_by_month, top10_customers, top10_parts, top_event_types, order_baskets_over_6, customer_day_baskets, partition_profile, hash_partition_profile)}
+def partition_study(spark, sf_dir):
+    s = a.partition_study(table(spark, sf_dir, "review"), "business_id", 16)
+    return s.select("kind", "n_total", (F.col("n_partition") == F.size("n_items")).alias("listed"), (F.col("exe_time") > 0).alias("timed"))
+
+
+def sort_study(spark, sf_dir):
+    s = a.sort_study(city_stars(spark, sf_dir).where("city is not null"), "stars", "city")
+    return s.select("kind", F.array_join("top", "|").alias("top10"), (F.col("exe_time") > 0).alias("timed"))
+
+
+QUERIES = {f.__name__: f for f in (avg_price_by_nation, review_count, reviews_in_2018, distinct_users, distinct_businesses, top10_users, top10_businesses, review_report, city_stars, event_count, events_by_month, top10_customers, top10_parts, top_event_types, order_baskets_over_6, customer_day_baskets, partition_profile, hash_partition_profile, partition_study, sort_study)}
 
 _U, _B, _D = CLEAN_SQL.format("user_id"), CLEAN_SQL.format("business_id"), DAY_SQL.format("date")
 _TOP = "select {0} {1}, count(*) n_review from review where {0} is not null group by 1 order by 2 desc, 1 limit 10"
@@ -121,6 +135,11 @@ SQL = {
     "review_report": f"""select (select count(*) from review) n_review, (select count(*) from review where year({_D}) = 2018) n_review_2018,
 (select count(distinct {_U}) from review) n_user, {_TEXT.format(_U, 'user_id')} top10_user, (select count(distinct {_B}) from review) n_business, {_TEXT.format(_B, 'business_id')} top10_business""",
     "city_stars": f"select city, round(avg(r.stars), 6) stars from review r join business b on {CLEAN_SQL.format('r.business_id')} = {CLEAN_SQL.format('b.business_id')} group by city",
+    "partition_profile": "select count(*) n_items, true each_once from review",
+    "hash_partition_profile": f"select (coalesce({TEXT_NUMBER_SQL.format(_B)}, 0) % 16)::int partition_id, count(*) n_items from review group by 1",
+    "partition_study": "select kind, (select count(*) from review) n_total, true listed, true timed from (values ('default'), ('custom')) t(kind)",
+    "sort_study": f"""with m as (select city, round(avg(r.stars), 6) stars from review r join business b on {CLEAN_SQL.format('r.business_id')} = {CLEAN_SQL.format('b.business_id')} where city is not null group by city)
+select kind, (select string_agg(city, '|' order by stars desc, city) from (select * from m order by stars desc, city limit 10)) top10, true timed from (values ('limit'), ('whole')) t(kind)""",
     "event_count": "select count(*) n_events from events",
     "events_by_month": "select year(ts) y, month(ts) m, count(*) n_events from events group by 1, 2",
     "top10_customers": "select o_custkey, count(*) n_orders from orders group by 1 order by 2 desc, 1 limit 10",

@@ -25,9 +25,10 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True, quoted: bool = True) -> DataFrame:
-    """Columns by position. header: each file's own first line is skipped. quoted: fields may be in double quotes."""
+    """Columns by position. header: each file's own first line is skipped. quoted: fields may be in double quotes, a quote
+    within them being doubled, and may hold line ends."""
     r = spark.read.schema(schema).option("header", header).option("enforceSchema", True).option("mode", "PERMISSIVE")
-    return r.option("quote", '"' if quoted else "").csv(path)
+    return (r.option("quote", '"').option("escape", '"').option("multiLine", True) if quoted else r.option("quote", "")).csv(path)
 
 
 def without_headers(df: DataFrame) -> DataFrame:
@@ -62,8 +63,11 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
+    """Fields with separators, quotes or line ends are quoted; white space around them is kept. Nulls are empty fields, empty
+    texts are quoted ones; ``read_csv`` takes both as null."""
+    w = df.write.mode("overwrite").option("header", header).option("escape", '"')
+    w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("quoteAll", False).csv(path)
 
 
 def write_report(lines: DataFrame, path: str) -> None:
@@ -76,11 +80,38 @@ def document(df: DataFrame, name: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias(name))
 
 
-def itemset_lines(itemsets: DataFrame) -> DataFrame:
-    """One line for each size: the sets as ('a', 'b'), in order. For reports; the sets of one size meet in one row."""
+def _sized_lines(itemsets: DataFrame) -> DataFrame:
     one = F.concat(F.lit("("), F.array_join(F.transform("items", lambda i: F.concat(F.lit("'"), i.cast("string"), F.lit("'"))), ", "), F.lit(")"))
-    lines = itemsets.groupBy("size").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("items", one.alias("t")))), lambda s: s["t"]), ",").alias("line"))
-    return lines.orderBy("size").select("line")
+    return itemsets.groupBy("size").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("items", one.alias("t")))), lambda s: s["t"]), ",").alias("line"))
+
+
+def itemset_lines(itemsets: DataFrame) -> DataFrame:
+    """One line for each size: the sets as ('a', 'b'), in order. For reports; the format has the sets of one size in one line, so
+    they meet in one row."""
+    return _sized_lines(itemsets).orderBy("size").select("line")
+
+
+def two_phase_lines(candidates: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The report of a two-phase search in lines: the heading Candidates:, a line a size, an empty line, and the same under
+    Frequent Itemsets: for the frequent ones; both frames hold items and size."""
+    spark = candidates.sparkSession
+    parts = []
+    for i, (title, sets) in enumerate((("Candidates:", candidates), ("Frequent Itemsets:", frequent))):
+        head = ([(i * 2, -1, "")] if i else []) + [(i * 2, 0, title)]
+        parts += [spark.createDataFrame(head, "part int, size int, line string"), _sized_lines(sets).select(F.lit(i * 2 + 1).alias("part"), "size", "line")]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole.orderBy("part", "size").select("line")
+
+
+def clustering_lines(rounds: list[tuple[int, int, int, int]], members: DataFrame) -> DataFrame:
+    """The report of a clustering in rounds, in lines: its heading, the counts of each round (discarded points, compressed
+    clusters, compressed points, retained points), an empty line, its second heading, and id,cluster of each point by id."""
+    head = ["The intermediate results:", *(f"Round {i}: {','.join(map(str, r))}" for i, r in enumerate(rounds, 1)), "", "The clustering results:"]
+    top = members.sparkSession.createDataFrame([(0, i, line) for i, line in enumerate(head)], "part int, at long, line string")
+    points = members.select(F.lit(1).alias("part"), F.col("id").cast("long").alias("at"), F.concat_ws(",", F.col("id").cast("string"), F.col("cluster").cast("string")).alias("line"))
+    return top.unionByName(points).orderBy("part", "at").select("line")
 
 
 def community_lines(communities: DataFrame) -> DataFrame:

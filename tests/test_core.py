@@ -12,7 +12,7 @@ from sparkmine.functions.ids import calendar_day, clean_id, whole_number_id
 from sparkmine.operators import analytics as a
 from sparkmine.operators import balance
 from sparkmine.operators.balance import fragment_replicate_join, key_statistics, pack, placed, plan_loads
-from sparkmine.runtime import col, scratch, stored
+from sparkmine.runtime import col, in_one_process, qualified, scratch, shared_dir, stored
 from sparkmine.sources import files
 
 
@@ -104,6 +104,50 @@ def test_report_lines(spark):
     assert [r[0] for r in files.edge_lines(e).collect()] == ["('a', 'c'), 2.5", "('a', 'b'), 1.0"]
 
 
+def test_csv_keeps_odd_fields(spark, tmp_path):
+    rows = [(" a ", 'say "x", y'), ("x", None), ("line\nend", "tab\t"), ("\\", "'"), (None, "b")]
+    df = spark.createDataFrame(rows, files.BASKET)
+    files.write_csv(df, str(tmp_path / "c"))
+    assert sorted(map(str, files.read_csv(spark, str(tmp_path / "c"), files.BASKET).collect())) == sorted(map(str, df.collect()))
+    files.write_csv(df.limit(0), str(tmp_path / "e"))
+    assert files.read_csv(spark, str(tmp_path / "e"), files.BASKET).count() == 0
+
+
+def test_two_phase_and_clustering_reports(spark):
+    c = spark.createDataFrame([(["b"], 1), (["a"], 1), (["a", "b"], 2), (["a", "c"], 2)], "items array<string>, size int")
+    f = c.where("size = 1")
+    assert [r[0] for r in files.two_phase_lines(c, f).collect()] == ["Candidates:", "('a'),('b')", "('a', 'b'),('a', 'c')", "", "Frequent Itemsets:", "('a'),('b')"]
+    m = spark.createDataFrame([(10, -1), (2, 3)], "id long, cluster int")
+    assert [r[0] for r in files.clustering_lines([(1, 2, 3, 4)], m).collect()] == ["The intermediate results:", "Round 1: 1,2,3,4", "", "The clustering results:", "2,3", "10,-1"]
+
+
+def test_partition_and_sort_studies(spark):
+    df = spark.range(0, 100, 1, 5).selectExpr("id % 7 k", "id v")
+    got = {r["kind"]: r for r in a.partition_study(df, "k", 3).collect()}
+    assert got["default"]["n_items"] == [20] * 5 and got["custom"]["n_partition"] <= 3 and all(r["n_total"] == 100 and r["exe_time"] > 0 for r in got.values())
+    top = a.sort_study(df.selectExpr("v div 2 s", "concat('n', v) n"), "s", "n", 3).collect()
+    assert [r["top"] for r in top] == [["n98", "n99", "n96"]] * 2
+    assert {tuple(r) for r in a.placed_profile(df, 4, F.col("v") % 4).collect()} == {(i, 25) for i in range(4)}
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    assert in_one_process("local") and in_one_process("local[8]") and not in_one_process("local-cluster[2,1,512]") and not in_one_process("yarn")
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {"spark.checkpoint.dir": None}
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session)
+    Session.conf = {"spark.checkpoint.dir": "hdfs://x/y/"}
+    assert shared_dir(Session) == "hdfs://x/y"
+    assert qualified(spark, "/tmp/x") == "file:///tmp/x"
+
+
 def test_bin_packing():
     to, full = pack([9, 1, 5, 4, 3, 2], 2)
     assert sorted(full) == [12, 12] and len(to) == 6

@@ -60,9 +60,9 @@ def test_support_equal_to_a_count_in_one_part(spark):
 
 def test_registered_itemsets_of_every_size(spark, small):
     rows = lambda name: sorted(map(tuple, mining.QUERIES[name](spark, small).collect()))
-    want = rows("all_frequent_itemsets")
+    want = rows("frequent_itemsets_of_users")
     assert max(r[0] for r in want) > 3
-    assert rows("all_two_pass_itemsets") == want and rows("all_fpgrowth_itemsets") == want
+    assert rows("two_pass_itemsets") == want and rows("fpgrowth_itemsets") == want
 
 
 def test_no_baskets(spark):

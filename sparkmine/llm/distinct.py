@@ -1,14 +1,16 @@
 """Exact distinct counts over huge identifier sets by hash-range decomposition.
 
-(group, identifier) pairs are deduplicated within disjoint hash buckets of the identifier, counted exactly per bucket,
-and bucket counts are added: an identifier is in one bucket only, so the sum is exact and the error bound is 0.
-Coarser groups are made from the deduplicated pairs of a finer one, within the same bucket.
+(group, identifier) pairs are deduplicated within disjoint hash buckets, counted exactly per bucket, and the counts of the
+buckets are added: a pair is in one bucket only, so the sum is exact and the error bound is 0. The buckets in which
+``distinct_counts`` works are the partitions of the shuffle that brings equal pairs together; each partition counts its
+own pairs before only these counts are shuffled and added. Coarser groups are made from the deduplicated pairs of a finer
+one.
 
 Two forms of partial results can be merged. ``identifier_pairs`` is the state: states of different pieces of data are
-merged by ``merge_pairs`` (union and deduplication, bucket by bucket). ``bucket_counts`` of different buckets are merged
-by adding. Deduplication runs on the whole (bucket, group, identifier) key after a partial aggregation on the map side,
-so neither a popular group nor a very active identifier gathers in one task, and nothing is held but the aggregation's
-spillable hash map.
+merged by ``merge_pairs`` (union and deduplication, bucket by bucket of the identifier). ``bucket_counts`` of different
+buckets are merged by adding. Deduplication runs on the whole (group, identifier) key after a partial aggregation on the map
+side, so neither a popular group nor a very active identifier, nor one pair repeated without end, gathers in one task, and
+nothing is held but the aggregation's spillable hash map.
 """
 
 from __future__ import annotations
@@ -43,13 +45,13 @@ def merge_pairs(*states: DataFrame) -> DataFrame:
     return whole.distinct()
 
 
-def bucket_counts(pairs: DataFrame, n_groups: int, combinations: Sequence[Sequence[int]]) -> DataFrame:
-    """kind, combination, g0.., bucket, n: exact distinct counts per bucket for combinations of the group columns (by number).
+def _deduplicated(pairs: DataFrame, n_groups: int, combinations: Sequence[Sequence[int]]) -> DataFrame:
+    """kind, combination, g0.., bucket: one row for each distinct identifier of each group of each combination.
 
     A combination is made from the smallest already deduplicated one that contains it.
     """
     made: dict[tuple[int, ...], DataFrame] = {tuple(range(n_groups)): pairs}
-    parts = []
+    whole, kinds = None, dict(pairs.dtypes)
     for c in sorted((tuple(sorted(c)) for c in combinations), key=lambda c: -len(c)):
         if c not in made:
             finer = min((x for x in made if set(c) <= set(x)), key=len)
@@ -57,15 +59,18 @@ def bucket_counts(pairs: DataFrame, n_groups: int, combinations: Sequence[Sequen
         level = made[c]
         for i in c:
             level = level.where(F.col(f"g{i}").isNotNull())
-        counts = level.groupBy("kind", "bucket", *(f"g{i}" for i in c)).agg(F.count("*").alias("n"))
-        kinds = dict(pairs.dtypes)
-        parts.append(counts.select("kind", F.lit(",".join(map(str, c))).alias("combination"), *(F.col(f"g{i}") if i in c else F.lit(None).cast(kinds[f"g{i}"]).alias(f"g{i}") for i in range(n_groups)), "bucket", "n"))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
+        groups = (F.col(f"g{i}") if i in c else F.lit(None).cast(kinds[f"g{i}"]).alias(f"g{i}") for i in range(n_groups))
+        level = level.select("kind", F.lit(",".join(map(str, c))).alias("combination"), *groups, "bucket")
+        whole = level if whole is None else whole.unionByName(level)
     return whole
 
 
+def bucket_counts(pairs: DataFrame, n_groups: int, combinations: Sequence[Sequence[int]]) -> DataFrame:
+    """kind, combination, g0.., bucket, n: exact distinct counts per bucket for combinations of the group columns (by number)."""
+    rows = _deduplicated(pairs, n_groups, combinations)
+    return rows.groupBy("kind", "combination", *(f"g{i}" for i in range(n_groups)), "bucket").agg(F.count("*").alias("n"))
+
+
 def distinct_counts(df: DataFrame, identifiers: Sequence[str], groups: Sequence[str], combinations: Sequence[Sequence[str]], buckets: int = BUCKETS) -> DataFrame:
     """Distinct counts of each identifier for each combination of groups: combination (names joined by ``,``; "" is all
     rows), the group columns (null where not in the combination), n_<identifier> for each, and error_bound (0.0).
@@ -78,10 +83,9 @@ def distinct_counts(df: DataFrame, identifiers: Sequence[str], groups: Sequence[
     pairs = identifier_pairs(df, identifiers, groups, buckets)
     if len(combinations) > 1:
         pairs = stored(pairs)  # else each combination would scan and deduplicate the input again
-    parts = bucket_counts(pairs, len(groups), [[index[g] for g in c] for c in combinations])
+    rows = _deduplicated(pairs, len(groups), [[index[g] for g in c] for c in combinations])
     names = [f"g{i}" for i in range(len(groups))]
-    sums = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k in identifiers]
-    added = parts.groupBy("combination", *names).agg(*sums)
+    added = rows.groupBy("combination", *names).agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in identifiers))
     title = F.lit("")
     for c in combinations:
         title = F.when(F.col("combination") == ",".join(map(str, sorted(index[g] for g in c))), ",".join(g for g in groups if g in c)).otherwise(title)

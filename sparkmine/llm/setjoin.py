@@ -44,13 +44,14 @@ def _rows(df: DataFrame, set_id: str, token: str, side: int) -> DataFrame:
 
 def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct (own, t) fingerprints of sets and tokens, and the names of the sets: own, side, name. No two sets share a
-    fingerprint: that is checked, and another seed taken if any do."""
+    fingerprint: that is checked, and another seed taken if any do. The input is read once."""
+    rows = rows.select("side", "name", F.xxhash64("token").alias("t")).distinct()
     seed = 0
     while True:
-        own = F.xxhash64(F.lit(seed), "side", "name")
-        names = stored(rows.select(own.alias("own"), "side", "name").distinct())
+        rows = stored(rows.select(F.xxhash64(F.lit(seed), "side", "name").alias("own"), "side", "name", "t"))
+        names = stored(rows.select("own", "side", "name").distinct())
         if names.groupBy("own").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-            return stored(rows.select(own.alias("own"), F.xxhash64("token").alias("t")).distinct()), names
+            return rows.select("own", "t"), names
         seed += 1
 
 
@@ -176,11 +177,25 @@ def _in_order(base: DataFrame, reps: DataFrame, threshold: float, direct: int) -
     return stored(toks)
 
 
-def _classed(df: DataFrame, threshold: float) -> DataFrame:
-    """Every set goes into the class of its size, and into the larger ones in which a partner may be."""
+def _classed(df: DataFrame, threshold: float, ks: dict[int, int] | None = None) -> DataFrame:
+    """Every set goes into the class of its size, and into the larger ones in which a partner may be.
+
+    With ks (the k of each class), neighbouring classes of the same k count as one, numbered by the lowest: sets then needn't
+    be in both.
+    """
     most = F.floor(F.col("size") / F.lit(threshold) + F.lit(1e-9))
-    of = lambda n: sum((F.when(n > c, 1).otherwise(0) for c in CLASSES), F.lit(0))
-    return df.withColumn("class", F.explode(F.sequence(of(F.col("size")), of(most)))).withColumn("home", of(F.col("size")) == F.col("class"))
+    number = lambda n, cuts: sum((F.when(n > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    cuts = CLASSES
+    if ks is not None:
+        known = sorted(ks)
+        cuts = tuple(CLASSES[c - 1] for before, c in zip(known, known[1:]) if ks[before] != ks[c])
+    return df.withColumn("class", F.explode(F.sequence(number(F.col("size"), cuts), number(most, cuts)))).withColumn("home", number(F.col("size"), cuts) == F.col("class"))
+
+
+def _joined(ks: dict[int, int]) -> list[int]:
+    """The k of each run of neighbouring classes of the same k, as ``_classed`` numbers them."""
+    runs = [ks[c] for c in sorted(ks)]
+    return [k for i, k in enumerate(runs) if i == 0 or k != runs[i - 1]]
 
 
 def _signatures(classed: DataFrame, classes: list[int], k: int) -> DataFrame:
@@ -202,9 +217,10 @@ def _candidates(toks: DataFrame, threshold: float, between: bool) -> DataFrame:
     ks, frequent = _choose(classed, threshold)
     if not ks:
         return toks.sparkSession.createDataFrame([], "a long, b long, size_a int, size_b int")
-    sigs = None
-    for k in sorted(set(ks.values())):
-        part = _signatures(classed, [c for c, x in ks.items() if x == k], k)
+    sigs, runs = None, _joined(ks)
+    classed = _classed(toks.where("at <= 3"), threshold, ks)
+    for k in sorted(set(runs)):
+        part = _signatures(classed, [c for c, x in enumerate(runs) if x == k], k)
         sigs = part if sigs is None else sigs.unionByName(part)
     a, b = _blocked(sigs, sigs.groupBy("key").agg(F.count("*").alias("f")) if frequent > BLOCK else None, "set")
     # a pair belongs to the class of its larger set; sizes must be compatible

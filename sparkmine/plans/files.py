@@ -13,6 +13,12 @@ from . import graphs, mining
 from .common import user_baskets
 
 
+def in_memory_rows(spark, sf_dir):
+    """Rows fetched into the driver (25 nations) and handed back as a frame."""
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()
+    return spark.createDataFrame([tuple(r) for r in rows], "n_nationkey int, n_name string, n_regionkey int").where("n_regionkey != 0")
+
+
 def json_lines(spark, sf_dir):
     """Businesses as JSON lines."""
     path = new_path(spark)
@@ -100,9 +106,10 @@ def betweenness_report(spark, sf_dir):
     return _read_back(spark, lines).select(F.regexp_extract("line", r"^\('(\d+)', '(\d+)'\), (.*)$", 1).cast("long").alias("src"), F.regexp_extract("line", r"^\('(\d+)', '(\d+)'\), (.*)$", 2).cast("long").alias("dst"), F.regexp_extract("line", r", ([^,]*)$", 1).cast("double").alias("betweenness"))
 
 
-QUERIES = {f.__name__: f for f in (json_lines, json_documents, text_lines, csv_with_header, csv_by_position, csv_transactions, csv_points, itemset_report, two_phase_report, community_report, betweenness_report)}
+QUERIES = {f.__name__: f for f in (in_memory_rows, json_lines, json_documents, text_lines, csv_with_header, csv_by_position, csv_transactions, csv_points, itemset_report, two_phase_report, community_report, betweenness_report)}
 
 SQL = {
+    "in_memory_rows": "select n_nationkey, n_name, n_regionkey from nation where n_regionkey != 0",
     "json_lines": "select business_id, name, city, stars, review_count from business",
     "json_documents": "select event_type, count(props->>'k') n, sum((props->>'k')::bigint)::bigint total from events group by 1",
     "text_lines": "select business_id, review_count from business",

@@ -91,24 +91,29 @@ def itemset_lines(itemsets: DataFrame) -> DataFrame:
     return _sized_lines(itemsets).orderBy("size").select("line")
 
 
+#: Fixed values of the report formats.
+CANDIDATES, FREQUENT = "Candidates:", "Frequent Itemsets:"
+ROUNDS, RESULTS = "The intermediate results:", "The clustering results:"
+ROUND = "Round {}: {},{},{},{}"
+
+
 def two_phase_lines(candidates: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The report of a two-phase search in lines: the heading Candidates:, a line a size, an empty line, and the same under
-    Frequent Itemsets: for the frequent ones; both frames hold items and size."""
+    """The report of a two-phase search in lines: a heading, a line a size with empty lines between, for candidates and then
+    for the frequent ones; both frames hold items and size."""
     spark = candidates.sparkSession
-    parts = []
-    for i, (title, sets) in enumerate((("Candidates:", candidates), ("Frequent Itemsets:", frequent))):
-        head = ([(i * 2, -1, "")] if i else []) + [(i * 2, 0, title)]
-        parts += [spark.createDataFrame(head, "part int, size int, line string"), _sized_lines(sets).select(F.lit(i * 2 + 1).alias("part"), "size", "line")]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole.orderBy("part", "size").select("line")
+    whole = spark.createDataFrame([(0, 0, 1, CANDIDATES), (2, 0, 0, ""), (2, 0, 1, FREQUENT)], "part int, size int, at int, line string")
+    for part, sets in ((1, candidates), (3, frequent)):
+        least = sets.agg(F.min("size").alias("least"))  # one row
+        both = F.posexplode(F.when(F.col("size") > F.col("least"), F.array(F.lit(""), "line")).otherwise(F.array("line")))
+        lines = _sized_lines(sets).join(F.broadcast(least)).select(F.lit(part).alias("part"), "size", both.alias("at", "line"))
+        whole = whole.unionByName(lines)
+    return whole.orderBy("part", "size", "at").select("line")
 
 
 def clustering_lines(rounds: list[tuple[int, int, int, int]], members: DataFrame) -> DataFrame:
     """The report of a clustering in rounds, in lines: its heading, the counts of each round (discarded points, compressed
     clusters, compressed points, retained points), an empty line, its second heading, and id,cluster of each point by id."""
-    head = ["The intermediate results:", *(f"Round {i}: {','.join(map(str, r))}" for i, r in enumerate(rounds, 1)), "", "The clustering results:"]
+    head = [ROUNDS, *(ROUND.format(i, *r) for i, r in enumerate(rounds, 1)), "", RESULTS]
     top = members.sparkSession.createDataFrame([(0, i, line) for i, line in enumerate(head)], "part int, at long, line string")
     points = members.select(F.lit(1).alias("part"), F.col("id").cast("long").alias("at"), F.concat_ws(",", F.col("id").cast("string"), F.col("cluster").cast("string")).alias("line"))
     return top.unionByName(points).orderBy("part", "at").select("line")

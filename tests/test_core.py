@@ -116,7 +116,7 @@ def test_csv_keeps_odd_fields(spark, tmp_path):
 def test_two_phase_and_clustering_reports(spark):
     c = spark.createDataFrame([(["b"], 1), (["a"], 1), (["a", "b"], 2), (["a", "c"], 2)], "items array<string>, size int")
     f = c.where("size = 1")
-    assert [r[0] for r in files.two_phase_lines(c, f).collect()] == ["Candidates:", "('a'),('b')", "('a', 'b'),('a', 'c')", "", "Frequent Itemsets:", "('a'),('b')"]
+    assert [r[0] for r in files.two_phase_lines(c, f).collect()] == ["Candidates:", "('a'),('b')", "", "('a', 'b'),('a', 'c')", "", "Frequent Itemsets:", "('a'),('b')"]
     m = spark.createDataFrame([(10, -1), (2, 3)], "id long, cluster int")
     assert [r[0] for r in files.clustering_lines([(1, 2, 3, 4)], m).collect()] == ["The intermediate results:", "Round 1: 1,2,3,4", "", "The clustering results:", "2,3", "10,-1"]
 

@@ -66,12 +66,12 @@ def similar_sets(df: DataFrame, set_id: str, token: str, threshold: float = 0.5,
     kept, sets without tokens appear in no pair, empty tables give no rows, other columns are ignored.
     direct: largest set ranked in one task. in_arrays: largest set compared as an array.
     """
-    sets, pairs = _similar(df, set_id, token, threshold, min_size, other, direct, in_arrays)
+    sets, pairs, copies = _similar(df, set_id, token, threshold, min_size, other, direct, in_arrays)
     a, b = (sets.select(F.col("set").alias(k), F.col("name").alias(f"name_{k}"), F.col("side").alias(f"side_{k}"), F.col("size").alias(f"size_{k}")) for k in "ab")
     columns = ["overlap", "name_a", "side_a", "size_a", "name_b", "side_b", "size_b"]
     both = pairs.join(a, "a").join(b, "b").select(*columns)
-    copies = sets.groupBy(F.col("set").alias("key")).agg(F.count("*").alias("f")).where("f > 1")
-    x, y = _blocked(sets.select(F.col("set").alias("key"), "own", "name", "side", "size"), copies, "own")
+    counts = sets.groupBy(F.col("set").alias("key")).agg(F.count("*").alias("f")) if copies > BLOCK else None
+    x, y = _blocked(sets.select(F.col("set").alias("key"), "own", "name", "side", "size"), counts, "own")
     alike = x.join(y, ["key", "lo", "hi"]).where("block_a != block_b or lo = hi").where("side_a < side_b or (side_a = side_b and name_a < name_b)")
     both = both.unionByName(alike.withColumn("overlap", F.col("size_a").cast("long")).select(*columns))
     if other is not None:
@@ -93,7 +93,7 @@ def similar_classes(df: DataFrame, set_id: str, token: str, threshold: float = 0
     sets of this one, its copies included); one row for each set of at least min_size tokens. Links: class_1 < class_2, overlap,
     similarity; one row for each pair of similar classes. Rows in and odd cases as in ``similar_sets``.
     """
-    sets, pairs = _similar(df, set_id, token, threshold, min_size, None, direct, in_arrays)
+    sets, pairs, _ = _similar(df, set_id, token, threshold, min_size, None, direct, in_arrays)
     classes = stored(sets.groupBy("set").agg(F.min("name").alias("class_id"), F.count("*").alias("class_size"), F.max("size").alias("size")))
     a, b = (classes.select(F.col("set").alias(k), F.col("class_id").alias(f"class_{k}"), F.col("class_size").alias(f"n_{k}"), F.col("size").alias(f"size_{k}")) for k in "ab")
     linked = stored(pairs.join(a, "a").join(b, "b"))
@@ -105,8 +105,9 @@ def similar_classes(df: DataFrame, set_id: str, token: str, threshold: float = 0
     return members, links
 
 
-def _similar(df: DataFrame, set_id: str, token: str, threshold: float, min_size: int, other: DataFrame | None, direct: int, in_arrays: int) -> tuple[DataFrame, DataFrame]:
-    """The sets (own, side, name, size, set: their representative) and the similar pairs of representatives (a, b, overlap)."""
+def _similar(df: DataFrame, set_id: str, token: str, threshold: float, min_size: int, other: DataFrame | None, direct: int, in_arrays: int) -> tuple[DataFrame, DataFrame, int]:
+    """The sets (own, side, name, size, set: their representative), the similar pairs of representatives (a, b, overlap), and the
+    most copies of a set."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     rows = _rows(df, set_id, token, 0)
@@ -121,8 +122,9 @@ def _similar(df: DataFrame, set_id: str, token: str, threshold: float, min_size:
     reps = sets.groupBy(*alike).agg(F.min("own").alias("set"), F.min("side").alias("side_1"), F.max("side").alias("side_2"))
     sets = stored(sets.join(reps, alike).select("own", "side", "name", "size", "set"))
     reps = reps.select(F.col("set").alias("own"), "set", "size", F.expr("shiftleft(1, side_2) | shiftleft(1, side_1)").alias("sides"))
-    toks = _in_order(base, reps, threshold, direct)
-    return sets, _verified(toks, stored(_candidates(toks, threshold, other is not None)), threshold, in_arrays)
+    most = sets.groupBy("set").agg(F.count("*").alias("f"), F.max("size").alias("size")).agg(F.max("f").alias("f"), F.max("size").alias("size")).first()
+    toks = _in_order(base, reps, threshold, direct, (most["size"] or 0) > direct)
+    return sets, _verified(toks, stored(_candidates(toks, threshold, other is not None)), threshold, in_arrays), most["f"] or 0
 
 
 def _blocked(df: DataFrame, counts: DataFrame | None, by: str) -> tuple[DataFrame, DataFrame]:
@@ -148,7 +150,7 @@ def _blocked(df: DataFrame, counts: DataFrame | None, by: str) -> tuple[DataFram
     return a, b
 
 
-def _in_order(base: DataFrame, reps: DataFrame, threshold: float, direct: int) -> DataFrame:
+def _in_order(base: DataFrame, reps: DataFrame, threshold: float, direct: int, any_large: bool) -> DataFrame:
     """set, size, sides, t, at: the tokens that sets may share, with the least k for which they are in their set's prefix.
 
     Tokens are ordered by the number of sets that have them, then by t (signed), in sets of every size. Those of one set only can't be shared; they lead
@@ -157,7 +159,7 @@ def _in_order(base: DataFrame, reps: DataFrame, threshold: float, direct: int) -
     often = base.groupBy("t").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     need = _needed(F.col("size"), threshold)
     large = reps.where(F.col("size") > direct)
-    n_large = large.count()  # at most rows / direct
+    n_large = large.count() if any_large else 0  # at most rows / direct
     small = base.join(sent_if_few(large.select("own"), n_large), "own", "left_anti") if n_large else base
     by_set = W.partitionBy("own")
     small = small.join(often, "t").join(reps.where(F.col("size") <= direct), "own")

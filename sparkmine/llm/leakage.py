@@ -43,10 +43,10 @@ def _number(w: str) -> int:
     return n
 
 
-def numbered(ws: list[str]) -> list[int]:
+def numbered(ws: list[str]) -> tuple[int, ...]:
     """The number of each word."""
-    get = _numbers.get
-    return [n if (n := get(w)) is not None else _number(w) for w in ws]
+    known = tuple(map(_numbers.get, ws))
+    return tuple(_number(w) if n is None else n for n, w in zip(known, ws)) if None in known else known
 
 
 class Automaton:
@@ -59,7 +59,7 @@ class Automaton:
         owners: dict[tuple[int, ...], list[tuple[int, int, int]]] = {}
         for i, texts in enumerate(self.words):
             for part, ws in enumerate(texts):
-                seq, n = tuple(numbered(ws)), min(run, len(ws)) if part == 0 else len(ws)
+                seq, n = numbered(ws), min(run, len(ws)) if part == 0 else len(ws)
                 for j in range(len(seq) - n + 1 if n else 0):
                     owners.setdefault(seq[j : j + n], []).append((i, part, j))
         self.empty = not owners
@@ -165,7 +165,7 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
                 for at, t in enumerate(batch.column(1) if not machine.empty else ()):
                     if t := t.as_py():
                         ws = words(t)
-                        if hits := machine.hits(ws, tuple(numbered(ws))):
+                        if hits := machine.hits(ws, numbered(ws)):
                             found.append((at, hits, ids))
                 yield search(batch, found)
             return

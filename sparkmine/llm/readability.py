@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +85,7 @@ class _Words:
 
     def of(self, ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
         get = self.at.get
-        at = np.array([get(w, -1) for w in ws])
+        at = np.fromiter(map(get, ws, repeat(-1)), np.int64, len(ws))
         others = []
         for i in np.flatnonzero(at < 0).tolist():
             w = ws[i]

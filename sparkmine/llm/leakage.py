@@ -55,6 +55,7 @@ class Automaton:
     def __init__(self, items: list[tuple[str | None, str | None, str | None]], run: int):
         import ahocorasick
 
+        self.run = run
         self.words = [[words(t or "") for t in texts] for texts in items]
         owners: dict[tuple[int, ...], list[tuple[int, int, int]]] = {}
         for i, texts in enumerate(self.words):
@@ -70,7 +71,8 @@ class Automaton:
             self.machine.make_automaton()
 
     def hits(self, ws: list[str] | None, numbers: tuple[int, ...], text: str | None = None) -> dict[tuple[int, int], list[tuple[int, int]]]:
-        """For each (item, part) the matched stretches in words (first, last), in order; consecutive runs of a passage are joined.
+        """For each (item, part) the matched stretches in words (first, last), in order; consecutive runs of a passage
+        are joined, but not those of a passage that is shorter than a run.
 
         ws: the words of the text; if None they are taken from the text, only where the numbers match something.
         """
@@ -83,7 +85,7 @@ class Automaton:
                 if self.words[i][part][j : j + n] != own:
                     continue
                 found = out.setdefault((i, part), [])
-                if part == 0 and found and found[-1][1] >= end - 1:
+                if part == 0 and n == self.run and found and found[-1][1] >= end - 1:
                     found[-1] = (found[-1][0], end)
                 else:
                     found.append((end - n + 1, end))

@@ -225,7 +225,7 @@ win as (select doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') s from d, (sel
 m as (select distinct doc_id, item_id, part, n, k from win join pat using (n, s)),
 g as (select *, k - row_number() over (partition by doc_id, item_id, part order by k) start from m),
 r as (select doc_id, item_id, part, n, start, count(*) c from g group by all),
-h as (select doc_id, item_id, part, case when part = 'passage' then count(*) else sum(c) end::int n_matches, case when part = 'passage' then max(c) + n - 1 else n end::int longest_run from r group by doc_id, item_id, part, n)
+h as (select doc_id, item_id, part, case when part = 'passage' and n = 12 then count(*) else sum(c) end::int n_matches, case when part = 'passage' and n = 12 then max(c) + n - 1 else n end::int longest_run from r group by doc_id, item_id, part, n)
 """
 
 SQL = {

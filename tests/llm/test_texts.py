@@ -164,6 +164,12 @@ def test_a_short_passage_leaks_as_a_whole(spark):
     assert got == {(1, "passage"): (8, False), (3, "answer"): (1, False)}
 
 
+def test_a_short_passage_repeated_is_no_long_run():
+    machine = leakage.Automaton([("one two three four five six", None, None)], 12)
+    ws = words("one two three four five six " * 2)
+    assert machine.hits(ws, leakage.numbered(ws)) == {(0, 0): [(0, 5), (6, 11)]}
+
+
 def test_words_of_one_number_do_not_match(spark, monkeypatch):
     monkeypatch.setattr(leakage, "numbered", lambda ws: tuple(len(w) for w in ws))
     docs = spark.createDataFrame([(1, "aa bb cc dd"), (2, "xx bb cc dd")], "d long, t string")

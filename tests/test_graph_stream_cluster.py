@@ -136,6 +136,26 @@ def test_girvan_newman_of_nothing(spark):
     assert g.girvan_newman(frame(spark, []))[0].count() == 0
 
 
+def test_betweenness_of_a_graph_that_tasks_can_hold(spark, monkeypatch):
+    # 100,001 edges, most of them in trees that hang on the graph
+    monkeypatch.setattr(g, "_by_levels", None)
+    e = spark.range(1, 100_000).selectExpr("0L src", "id dst").unionByName(frame(spark, [(1, 2), (2, 3)]))
+    got = dict((r[0], r[1]) for r in g.edge_betweenness(e).groupBy("betweenness").count().collect())
+    assert got == {99_999.0: 99_996, 99_997.5: 2, 99_997.0: 1, 1.5: 2}
+
+
+@pytest.mark.parametrize("seed, dense", [(1, 1000), (2, 0), (3, 1000), (4, 0)])
+def test_scores_of_a_connected_graph(monkeypatch, seed, dense):
+    monkeypatch.setattr(g, "DENSE", dense)
+    monkeypatch.setattr(g, "STATE_ROWS", 60)
+    monkeypatch.setattr(g, "ARCS_AT_ONCE", 7)
+    e = sorted({*edge_list(seed, 16, 40), *((0, i) for i in range(1, 16)), (3, 100)})
+    ids = sorted({x for p in e for x in p})
+    u, v = (np.array([ids.index(p[k]) for p in e]) for k in (0, 1))
+    want = brute_betweenness(e)
+    assert np.allclose(g._scores(len(ids), u, v), [want[p] for p in e], atol=2e-5)
+
+
 def test_graph_of_shared_items(spark):
     rows = [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1), ("d", None)]
     from sparkmine.operators.similarity import members

@@ -156,6 +156,16 @@ def test_scores_of_a_connected_graph(monkeypatch, seed, dense):
     assert np.allclose(g._scores(len(ids), u, v), [want[p] for p in e], atol=2e-5)
 
 
+def test_levels_take_no_jobs_of_their_own(spark):
+    e = [(i, i + 1) for i in range(40)]
+    sc = spark.sparkContext
+    sc.setJobGroup("levels of a path", "")
+    got = {r["src"]: r["betweenness"] for r in g.edge_betweenness(frame(spark, e), held_edges=0).collect()}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("levels of a path"))
+    sc.setJobGroup("other", "")
+    assert got == {i: (i + 1.0) * (40 - i) for i in range(40)} and jobs < 40
+
+
 def test_graph_of_shared_items(spark):
     rows = [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1), ("d", None)]
     from sparkmine.operators.similarity import members

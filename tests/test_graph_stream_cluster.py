@@ -166,6 +166,37 @@ def test_levels_take_no_jobs_of_their_own(spark):
     assert got == {i: (i + 1.0) * (40 - i) for i in range(40)} and jobs < 40
 
 
+def brute_girvan_newman(edges):
+    left, of = set(edges), {v: c for v, c in brute_components(edges).items()}
+    best, history = of, [brute_modularity(edges, of)]
+    while left:
+        scores = brute_betweenness(sorted(left))
+        top = max(scores.values())
+        left -= {e for e, s in scores.items() if abs(s - top) < 2e-5}
+        of = {v: v for v in of} | brute_components(sorted(left))
+        history.append(brute_modularity(edges, of))
+        if history[-1] > max(history[:-1]) + 1e-12:
+            best = of
+    return best, history
+
+
+def many_parts():
+    return sorted({(1000 * k + a, 1000 * k + b) for k in range(3) for a, b in edge_list(k % 2 + 5, 12, 18) if b < 104})
+
+
+def test_division_of_many_components_in_few_jobs(spark):
+    e = many_parts()
+    sc = spark.sparkContext
+    sc.setJobGroup("division", "")
+    of, q, history = g.girvan_newman(frame(spark, e), alone_edges=0)
+    got = {r["id"]: r["component"] for r in of.collect()}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("division"))
+    sc.setJobGroup("other", "")
+    want, course = brute_girvan_newman(e)
+    assert got == want and len(history) == len(course) and np.allclose(history, course) and abs(q - max(course)) < 1e-9
+    assert jobs < 6 * len(history)
+
+
 def test_graph_of_shared_items(spark):
     rows = [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1), ("d", None)]
     from sparkmine.operators.similarity import members

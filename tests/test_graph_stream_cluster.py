@@ -197,6 +197,12 @@ def test_division_of_many_components_in_few_jobs(spark):
     assert jobs < 6 * len(history)
 
 
+def test_division_of_all_linked_users(spark, small):
+    from sparkmine.plans import graphs
+
+    assert {r["id"] for r in graphs.girvan_newman(spark, small).collect()} == {r["id"] for r in graphs.user_degrees(spark, small).collect()} != set()
+
+
 def test_graph_of_shared_items(spark):
     rows = [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1), ("d", None)]
     from sparkmine.operators.similarity import members

@@ -217,42 +217,3 @@ def test_overlaps_of_several_meet_by_two_rare_members(spark, monkeypatch, paired
     kept = m.join(m.groupBy("member").agg(F.count("*").alias("common")), "member").join(m.groupBy("id").agg(F.count("*").alias("n")).where("n >= 5"), "id").withColumn("need", F.lit(5))
     twice, once = ({tuple(r) for r in f(kept).collect()} for f in (sim._met_twice, sim._met))
     assert {w[:2] for w in want} <= twice <= once and len(twice) < len(once)
-
-
-@pytest.mark.parametrize("paired", [100, 9])
-def test_overlaps_of_several_meet_by_two_rare_members(spark, monkeypatch, paired):
-    monkeypatch.setattr(sim, "PAIRED", paired)
-    rng = random.Random(9)
-    sets = {i: {min(rng.randrange(40), rng.randrange(40)) for _ in range(rng.randrange(4, 22))} for i in range(60)}
-    m = sim.members(spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "id int, member int"), "id", "member")
-    want = {(*sorted((str(a), str(b))), len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 5}
-    assert {tuple(r) for r in sim.overlap_pairs(m, 5).collect()} == want and len(want) > 20
-    kept = m.join(m.groupBy("member").agg(F.count("*").alias("common")), "member").join(m.groupBy("id").agg(F.count("*").alias("n")).where("n >= 5"), "id").withColumn("need", F.lit(5))
-    twice, once = ({tuple(r) for r in f(kept).collect()} for f in (sim._met_twice, sim._met))
-    assert {w[:2] for w in want} <= twice <= once and (paired == 9 or 2 * len(twice) < len(once))
-
-
-@pytest.mark.parametrize("paired", [100, 9])
-def test_overlaps_of_several_meet_by_two_rare_members(spark, monkeypatch, paired):
-    monkeypatch.setattr(sim, "PAIRED", paired)
-    rng = random.Random(9)
-    sets = {i: {min(rng.randrange(40), rng.randrange(40)) for _ in range(rng.randrange(4, 22))} for i in range(60)}
-    m = sim.members(spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "id int, member int"), "id", "member")
-    want = {(*sorted((str(a), str(b))), len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 5}
-    assert {tuple(r) for r in sim.overlap_pairs(m, 5).collect()} == want and len(want) > 20
-    kept = m.join(m.groupBy("member").agg(F.count("*").alias("common")), "member").join(m.groupBy("id").agg(F.count("*").alias("n")).where("n >= 5"), "id").withColumn("need", F.lit(5))
-    twice, once = ({tuple(r) for r in f(kept).collect()} for f in (sim._met_twice, sim._met))
-    assert {w[:2] for w in want} <= twice <= once and (paired == 9 or 2 * len(twice) < len(once))
-
-
-@pytest.mark.parametrize("paired", [100, 9])
-def test_overlaps_of_several_meet_by_two_rare_members(spark, monkeypatch, paired):
-    monkeypatch.setattr(sim, "PAIRED", paired)
-    rng = random.Random(9)
-    sets = {i: {min(rng.randrange(40), rng.randrange(40)) for _ in range(rng.randrange(4, 22))} for i in range(60)}
-    m = sim.members(spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "id int, member int"), "id", "member")
-    want = {(*sorted((str(a), str(b))), len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 5}
-    assert {tuple(r) for r in sim.overlap_pairs(m, 5).collect()} == want and len(want) > 20
-    kept = m.join(m.groupBy("member").agg(F.count("*").alias("common")), "member").join(m.groupBy("id").agg(F.count("*").alias("n")).where("n >= 5"), "id").withColumn("need", F.lit(5))
-    twice, once = ({tuple(r) for r in f(kept).collect()} for f in (sim._met_twice, sim._met))
-    assert {w[:2] for w in want} <= twice <= once and (paired == 9 or 2 * len(twice) < len(once))

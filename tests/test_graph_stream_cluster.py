@@ -203,6 +203,13 @@ def test_division_of_all_linked_users(spark, small):
     assert {r["id"] for r in graphs.girvan_newman(spark, small).collect()} == {r["id"] for r in graphs.user_degrees(spark, small).collect()} != set()
 
 
+def test_division_equals_brute_force_and_names_its_vertices(spark):
+    e = [(a + 7, b + 7) for a, b in many_parts()]
+    of, q, history = g.girvan_newman(frame(spark, e))
+    want, course = brute_girvan_newman(e)
+    assert {r["id"]: r["component"] for r in of.collect()} == want and np.allclose(history, course)
+
+
 def test_graph_of_shared_items(spark):
     rows = [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1), ("d", None)]
     from sparkmine.operators.similarity import members
